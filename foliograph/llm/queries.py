@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import pack_documents
+from .suffix import find_repeats, text_columns
 
 
 def tokenizer_files() -> dict[str, str]:
@@ -19,8 +20,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), **tokenizer_files())
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_columns(find_repeats(table(spark, sf_dir, "documents"), min_bytes=400))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
 }
 
 ORACLE = {}
