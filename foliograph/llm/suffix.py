@@ -149,16 +149,15 @@ def runs(*keys: np.ndarray) -> np.ndarray:
 
 SEGMENTS = {"core": "<u8", "full": "<u8", "many": "<u1", "doc": "<i8", "crc": "<u4", "pos": "<u4", "ln": "<u2", "status": "<u1"}
 STATUS = {c: SEGMENTS[c] for c in ("doc", "crc", "pos", "ln", "status")}
-STRINGS = {"a": "<u8", "b": "<u4", "at": "<u4", "open": "<u1"}
+STRINGS = {"a": "<u8", "b": "<u4", "origin": "<u4", "at": "<u4", "open": "<u1"}
 
 
-def packed(part: np.ndarray, arrays: dict[str, np.ndarray], kinds: dict[str, str], extra: dict | None = None) -> Iterator[pa.RecordBatch]:
+def packed(part: np.ndarray, arrays: dict[str, np.ndarray], kinds: dict[str, str]) -> Iterator[pa.RecordBatch]:
     """A row for each part, its arrays as bytes."""
     order = np.argsort(part, kind="stable")
     starts = runs(part[order])
     ends = np.r_[starts, len(order)][1:]
     rows = {"part": pa.array(part[order][starts].astype(np.int32), pa.int32())}
-    rows |= {c: pa.array([v] * len(starts), pa.int32()) for c, v in (extra or {}).items()}
     for c, kind in kinds.items():
         data = arrays[c].astype(kind)[order]
         rows[c] = pa.array([data[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary())
@@ -170,8 +169,8 @@ def unpacked(batches: list[pa.RecordBatch], kinds: dict[str, str]) -> dict[str,
     return {c: np.frombuffer(b"".join(x.as_py() or b"" for r in batches for x in r.column(c)), kind) for c, kind in kinds.items()}
 
 
-def packed_schema(kinds: dict[str, str], *extra: str) -> str:
-    return ", ".join(["part int", *(f"{c} int" for c in extra), *(f"{c} binary" for c in kinds)])
+def packed_schema(kinds: dict[str, str]) -> str:
+    return ", ".join(["part int", *(f"{c} binary" for c in kinds)])
 
 
 def named_segments(docs: DataFrame, min_bytes: int, parts: int) -> DataFrame:
@@ -325,7 +324,7 @@ def find_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     if min_bytes < 64:
         raise ValueError("min_bytes must be 64 at least")
     spark = docs.sparkSession
-    parts = 4 * shuffle_partitions(spark)
+    parts = 2 * shuffle_partitions(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     extra = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("struct<none:int>")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), extra.alias("extra"))
@@ -378,15 +377,13 @@ def find_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             x = {c: np.concatenate([f[c] for f in found]) for c in STRINGS}
-            yield from packed((x["a"] % U64(parts)).astype(np.int64), x, STRINGS, {"origin": last})
+            yield from packed((x["a"] % U64(parts)).astype(np.int64), x, STRINGS)
 
         for part, _, _, text, _, asked in undecided(batches):
-            if part != last:
-                if found:
-                    yield from flush()
-                last, at, found, size = part, 0, [], 0
+            at = at if part == last else 0
+            last = part
             a, b = string_names(text, asked, min_bytes)
-            found.append({"a": a, "b": b, "at": np.arange(at, at + len(a)), "open": np.repeat(asked[:, 2], asked[:, 1])})
+            found.append({"a": a, "b": b, "origin": np.full(len(a), part), "at": np.arange(at, at + len(a)), "open": np.repeat(asked[:, 2], asked[:, 1])})
             at, size = at + len(a), size + len(a)
             if size >= 2_000_000:
                 yield from flush()
@@ -396,15 +393,13 @@ def find_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
 
     def repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Round 2, reduce side: the strings of undecided segments that repeat."""
-        rows = list(batches)
-        x = unpacked(rows, STRINGS)
-        origins = np.repeat([o.as_py() for r in rows for o in r.column("origin")], [len(o.as_py()) for r in rows for o in r.column("open")]) if rows else np.empty(0, np.int64)
+        x = unpacked(list(batches), STRINGS)
         order = np.lexsort((x["b"], x["a"]))
         starts = runs(x["a"][order], x["b"][order])
         count = np.diff(np.r_[starts, len(order)])
         hit = order[np.repeat(count > 1, count)]
         hit = hit[x["open"][hit] == 1]
-        yield from packed(origins[hit], {"at": x["at"][hit]}, {"at": "<u4"})
+        yield from packed(x["origin"][hit], {"at": x["at"][hit]}, {"at": "<u4"})
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, hits, known_hits = None, [], None
@@ -429,7 +424,7 @@ def find_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
                     spans.append(merged(np.r_[known[1:], np.stack([found, found + min_bytes], 1)]))
                 yield finished(rows.column("doc_id").to_pylist(), rows.column("bytes").to_pylist(), spans, rows.column("extra"))
 
-    hits = both.mapInArrow(strings, packed_schema(STRINGS, "origin")).repartition("part").mapInArrow(repeated_strings, "part int, at binary")
+    hits = both.mapInArrow(strings, packed_schema(STRINGS)).repartition("part").mapInArrow(repeated_strings, "part int, at binary")
     open_docs = both.mapInArrow(carry, carried).unionByName(hits.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     return both.mapInArrow(decided, result).unionByName(open_docs.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(settled, result))
 
