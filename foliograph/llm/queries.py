@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .minhash import NEAR_SQL, near_duplicates
 from .packing import pack_documents
 from .suffix import find_repeats, text_columns
 
@@ -24,9 +25,16 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_columns(find_repeats(table(spark, sf_dir, "documents"), min_bytes=400))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_minhash": op7_minhash,
 }
 
-ORACLE = {}
+ORACLE = {
+    "op7_minhash": NEAR_SQL,
+}
