@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import contaminated, contaminated_sql
 from .minhash import NEAR_SQL, near_duplicates
 from .packing import pack_documents
+from .quality import quality_rules
 from .suffix import find_repeats, text_columns
 
 
@@ -21,6 +23,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), **tokenizer_files())
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_columns(find_repeats(table(spark, sf_dir, "documents"), min_bytes=400))
 
@@ -29,12 +35,19 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_minhash": op7_minhash,
+    "op8_quality": op8_quality,
 }
 
 ORACLE = {
+    "op2_decontamination": contaminated_sql(),
     "op7_minhash": NEAR_SQL,
 }
