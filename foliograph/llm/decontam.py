@@ -33,7 +33,7 @@ def _seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...], at: str) -> Data
     """A row for each position and mask of the token hashes in column h."""
     h, i, n = F.col("h"), F.col(at), F.size("h")
     least = min(m[-1] for m in masks)
-    rows = rows.where(n > least).select("*", F.explode(F.sequence(F.lit(0), n - 1 - least)).alias(at))
+    rows = rows.select("*", F.explode(F.when(n > least, F.sequence(F.lit(0), n - 1 - least))).alias(at))
     of = [F.when(i + m[-1] < n, F.xxhash64(F.lit(k), *[F.get(h, i + o) for o in m])) for k, m in enumerate(masks)]
     return rows.select("*", F.explode(F.array(*of)).alias("seed")).where("seed is not null")
 
@@ -48,20 +48,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int,
     give no rows.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("h")).where(F.size("h") > 0).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("h"))
+    # the row number also keeps filters from moving below the hashes and doubling them
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("h"))
     seeds = _seeds(items, masks, "j").select("seed", "item_id", "j", F.col("h").alias("item"))
-    tokens = items.agg(F.sum(F.size("h") * (8 * len(masks) * F.size("h") + 64 * len(masks)))).first()[0] or 0
+    size = items.agg(F.sum(F.size("h") * (8 * len(masks) * F.size("h") + 64 * len(masks)))).first()[0] or 0
     found = _seeds(texts, masks, "i")
-    if tokens <= broadcast_bytes:
+    if size <= broadcast_bytes:
         hits = found.join(F.broadcast(seeds), "seed").withColumn("place", F.col("i") - F.col("j"))
     else:
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("h"))
         hits = found.select("doc_id", "i", "seed").join(seeds.drop("item"), "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("place")).distinct()
         hits = hits.join(items.withColumnRenamed("h", "item"), hits.item_id.eqNullSafe(items.item_id)).select("doc_id", hits.item_id, "place", "item")
-        hits = hits.join(texts, hits.doc_id.eqNullSafe(texts.doc_id)).select(hits.doc_id, "item_id", "place", "item", "h")
-    lies = F.sequence(F.greatest(F.lit(0), -F.col("place")), F.least(F.size("item"), F.size("h") - F.col("place")) - 1)
-    matched = F.size(F.filter(lies, lambda k: F.get("item", k) == F.get("h", k + F.col("place"))))
-    verified = hits.select("doc_id", "item_id", "place", F.size("item").cast("long").alias("item_tokens"), matched.cast("long").alias("matched")).where((F.col("matched") >= F.lit(share) * F.col("item_tokens")) & (F.col("matched") >= least))
-    best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("place")).alias("back"), "item_tokens")).alias("x"))
+        hits = hits.join(texts, hits.doc_id.eqNullSafe(texts.doc_id)).select(F.monotonically_increasing_id().alias("row"), hits.doc_id, "item_id", "place", "item", "h")
+    # every token of the item at every hit, added up at once: no text leaves its task
+    laid = hits.select("row", "doc_id", "item_id", "place", "item", "h", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("k"))
+    at = F.col("k") + F.col("place")
+    equal = (at >= 0) & F.coalesce(F.get("item", F.col("k")) == F.get("h", F.greatest(at, F.lit(0))), F.lit(False))
+    laid = laid.select("row", "doc_id", "item_id", "place", F.size("item").cast("long").alias("item_tokens"), equal.cast("long").alias("equal"))
+    told = laid.groupBy("row", "doc_id", "item_id", "place", "item_tokens").agg((F.sum("equal") * F.col("item_tokens") / F.count("*")).cast("long").alias("matched"))
+    told = told.where((F.col("matched") >= F.lit(share) * F.col("item_tokens")) & (F.col("matched") >= least))
+    best = told.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("place")).alias("back"), "item_tokens")).alias("x"))
     return best.select("doc_id", "item_id", (-F.col("x.back")).cast("long").alias("place"), "x.matched", "x.item_tokens")
 
 
