@@ -10,6 +10,7 @@ from .minhash import NEAR_SQL, near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules
 from .suffix import find_repeats, text_columns
+from .toxicity import toxicity
 
 
 def tokenizer_files() -> dict[str, str]:
@@ -27,6 +28,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_columns(find_repeats(table(spark, sf_dir, "documents"), min_bytes=400))
 
@@ -42,6 +47,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_minhash": op7_minhash,
     "op8_quality": op8_quality,
