@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, smallest_hashes
 
 BUCKETS = 1 << 14
 #: At most so many trusted documents; their ids take 8 bytes each.
@@ -59,7 +59,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, smoot
 
     labels: (doc_id, quality). Without any trusted document all ratios are 0.
     """
-    ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).withColumn("target", F.lit(1))
+    ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    ids = smallest_hashes(ids, trusted, "doc_id").withColumn("target", F.lit(1))
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(split_words(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("h")).join(F.broadcast(ids), "doc_id", "left").select(F.coalesce("target", F.lit(0)).alias("target"), "h")
     grams = _gram_rows(hashed).select("target", F.explode(F.array("one", "two")).alias("bucket")).where("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("good"))
@@ -103,9 +104,11 @@ def _with_repeated_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", told).drop("t", "kinds", "short", "packs", "ordered", "pairs", "places")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED, with_text_hash: bool = False) -> DataFrame:
     """One row for each row of docs: base counts, score and verdict, texts not returned.
 
+    with_text_hash adds the text's hash, to find the row again.
+
     A null or empty text has no words, fails the base rules and has score 0. Repeated
     rows are judged each for itself, a null doc_id stays null, and without a trusted
     document every score is 0, so the base rules alone decide.
@@ -113,13 +116,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     ratios = log_ratios(docs, labels, trusted)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), split_words(text).alias("words"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("lines"))
-    base = base.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), word_hashes(F.col("words")).alias("h"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), split_words(text).alias("words"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("lines"))
+    base = base.select("row", "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), word_hashes(F.col("words")).alias("h"))
     base = _with_repeated_words(base)
     w = ratios.select("ratios").scalar()
     grams = _gram_rows(base)
     gain = F.get(w, F.col("one")) + F.get(w, F.col("two"))
-    kept = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    kept = ["doc_id", *["text_hash"] * with_text_hash, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     scored = grams.groupBy("row").agg(*[F.first(c).alias(c) for c in kept], F.coalesce(F.sum(gain) / (2 * F.count("one")), F.lit(0.0)).alias("score"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select(*kept, failed.alias("base_failed"), (~failed & (F.round("score", 9) >= threshold)).alias("kept"), "score")

@@ -273,6 +273,19 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[cut, 0], reach[np.r_[cut[1:] - 1, len(spans) - 1]]], 1)
 
 
+def within_characters(text: bytes, spans: np.ndarray) -> np.ndarray:
+    """The spans without characters that they cover in part."""
+    out = []
+    for i, j in spans.tolist():
+        while i < j and text[i] & 0xC0 == 0x80:
+            i += 1
+        while i < j < len(text) and text[j] & 0xC0 == 0x80:
+            j -= 1
+        if i < j:
+            out.append((i, j))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def without(text: bytes, spans: np.ndarray) -> bytes:
     edges = [0, *spans.ravel().tolist(), len(text)]
     return b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))
@@ -313,11 +326,12 @@ def _stretches(*keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), np.diff(np.r_[starts, len(keys[0])]).tolist(), strict=True))
 
 
-def find_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
+def find_repeats(docs: DataFrame, min_bytes: int = 400, whole_characters: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept, extra) for each document.
 
     spans are the maximal removed runs [start, stop), kept the remaining bytes and extra
-    the other columns of docs as a struct. A null text is empty; texts shorter than
+    the other columns of docs as a struct. whole_characters leaves characters that would
+    lose a part of their bytes. A null text is empty; texts shorter than
     min_bytes lose nothing; a row given twice counts as two documents, so all of its
     long strings repeat; an empty table gives no rows.
     """
@@ -337,6 +351,8 @@ def find_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     arrow_spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def finished(ids: list, texts: list[bytes], spans: list[np.ndarray], extras: pa.Array) -> pa.RecordBatch:
+        if whole_characters:
+            spans = [within_characters(t, s) for t, s in zip(texts, spans, strict=True)]
         kept = [without(t, s) for t, s in zip(texts, spans, strict=True)]
         told = [[{"start": i, "stop": j} for i, j in s.tolist()] for s in spans]
         return pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "spans": pa.array(told, arrow_spans), "kept": pa.array(kept, pa.binary()), "extra": extras})

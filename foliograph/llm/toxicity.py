@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts
+from .common import doc_texts, smallest_hashes
 
 #: Labelled rows that training reads at most.
 SAMPLE = 20_000
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", remainder).where("fold != 2")
-    chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = smallest_hashes(told, sample, "doc_id")
     texts = doc_texts(docs).where("doc_id is not null").join(F.broadcast(chosen), "doc_id").select("fold", "toxic", "text")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, smallest_hashes
 
 #: Keys that are gathered to choose the bounds of cells.
 SAMPLE = 4096
@@ -92,7 +92,7 @@ def judged(pages: DataFrame, rules: DataFrame, cells: int | None = None) -> Data
     spark = pages.sparkSession
     parts = host_and_path(pages)
     cells = min(cells or 2 * shuffle_partitions(spark), SAMPLE)
-    sample = parts.orderBy(F.xxhash64("page_id", "host", "path")).limit(SAMPLE).select("host", "path").collect()
+    sample = smallest_hashes(parts, SAMPLE, "page_id", "host", "path").select("host", "path").collect()
     keys = sorted(sort_key(r["host"], r["path"]) for r in sample)
     bounds = [keys[len(keys) * k // cells] for k in range(1, cells)] if keys else []
     schema = "cell int, key binary, kind int, page_id long, host string, path string, action string"
