@@ -278,9 +278,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     all_signed = scratch.save(signed(docs, size), "signed")
-    with_set = all_signed.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.save(with_set.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "classes")
-    cells = scratch.save(pivot_cells(prefix_postings(classes, matches), classes.groupBy("doc").agg(F.max("n").alias("n")), block_bytes), "cells")
+    ids = scratch.save(all_signed.drop("signature"), "ids")
+    classes = scratch.save(all_signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "signed-classes")
+    scratch.drop("signed")
+    postings = scratch.save(prefix_postings(classes, matches), "postings")
+    classes = scratch.save(classes.drop("signature"), "classes")
+    scratch.drop("signed-classes")
+    cells = scratch.save(pivot_cells(postings, classes.groupBy("doc").agg(F.max("n").alias("n")), block_bytes), "cells")
     sets = scratch.save(sets_of(docs, cells, size), "sets")
     links = scratch.save(compared(cells.select("pivot", "block", "doc", F.lit(True).alias("home"), F.col("doc").alias("known")), sets, matches, percent), "links")
     joined = components(links, scratch, "round")
@@ -293,9 +297,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         both = at_home.unionByName(visitors.select("pivot", F.col("visit").alias("block"), "doc", F.lit(False).alias("home"), "known"))
         more = scratch.save(compared(both, sets, matches, percent), "more-links")
         joined = components(links.unionByName(more), scratch, "last-round")
+    scratch.drop("postings", "cells", "sets")
+    with_set = ids.where("n_shingles > 0 and doc_id is not null")
     of_class = classes.select("h1", "h2", "doc").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("h1", "h2", F.coalesce("component", "doc").alias("component_id"))
     told = with_set.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
-    alone = all_signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = ids.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return told.unionByName(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
