@@ -1,10 +1,5 @@
 """Queries on the driver's tables, by name, and the SQL that must give the same rows."""
 
-from __future__ import annotations
+from .plans.queries import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
