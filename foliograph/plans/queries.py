@@ -339,3 +339,66 @@ def skip_errors(t, spark):
 def running_offsets(t, spark):
     d = t("documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("size"))
     return order.running_offsets(d, "size", "doc_id", ["source"]).select("doc_id", "size", "offset")
+
+
+# -- documents made from conversations --------------------------------------------------
+
+
+def _conversation_files(t) -> DataFrame:
+    """A file for each conversation, a page for each turn with its text as content."""
+    import pandas as pd
+
+    from ..sources.pdf import Name, Ref, Stream
+    from ..sources.pdf_write import written
+
+    def made(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("turn")
+        objects: list = [{"Type": Name("Catalog"), "Pages": Ref(2)}, None, {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica")}]
+        kids = []
+        for text in rows["text"]:
+            objects.append(Stream({}, text.encode()))
+            objects.append({"Type": Name("Page"), "Parent": Ref(2), "Contents": Ref(len(objects)), "Resources": {"Font": {"F1": Ref(3)}}})
+            kids.append(Ref(len(objects)))
+        objects[1] = {"Type": Name("Pages"), "Kids": kids, "Count": len(kids), "MediaBox": [0, 0, 595, 842]}
+        conv = int(rows["conv_id"].iloc[0])
+        return pd.DataFrame([{"doc_id": str(conv), "conv_id": conv, "content": written(objects, 1)}])
+
+    return t("conversations").select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(made, "doc_id string, conv_id long, content binary")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, count(*)::INT AS pages, (3 + 2 * count(*))::INT AS objects, false AS encrypted, 'OK' AS status FROM conversations GROUP BY conv_id")
+def pdf_documents(t, spark):
+    from ..sources import pdf_tables
+
+    return pdf_tables.documents(_conversation_files(t)).select("doc_id", "pages", "objects", "encrypted", "status")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS page_no, '[0 0 595 842]' AS media_box FROM conversations")
+def pdf_pages(t, spark):
+    from ..sources import pdf_tables
+
+    return pdf_tables.pages(_conversation_files(t)).select("doc_id", "page_no", F.col("media_box").cast("string").alias("media_box"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, coalesce(type, '-') AS type_name, n FROM (SELECT conv_id, 'Page' AS type, count(*) AS n FROM conversations GROUP BY 1 UNION ALL SELECT conv_id, NULL, count(*) FROM conversations GROUP BY 1 UNION ALL SELECT DISTINCT conv_id, k, 1 FROM conversations, (VALUES ('Pages'), ('Catalog'), ('Font')) v(k))")
+def pdf_objects(t, spark):
+    from ..sources import pdf_tables
+
+    return pdf_tables.objects(_conversation_files(t)).groupBy("doc_id", F.coalesce("type_name", F.lit("-")).alias("type_name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) - count(DISTINCT text) + count(DISTINCT conv_id) - 1 AS merged, CAST(sum(strlen(text)) - (SELECT sum(strlen(text)) FROM (SELECT DISTINCT text FROM conversations)) AS BIGINT) AS bytes_saved FROM conversations")
+def pdf_shared_objects(t, spark):
+    from ..sources import pdf_tables
+
+    shared = pdf_tables.shared_objects(pdf_tables.objects(_conversation_files(t)).select("doc_id", "num", "digest", "raw_len"))
+    return merkle.dedupe_stats(shared, "key", "raw_len").select("merged", F.col("bytes_saved").cast("long").alias("bytes_saved"))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT CAST(conv_id % 10 AS VARCHAR) AS "group", count(*)::INT AS files, sum((n + 1) // 2)::INT AS pages, CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END::INT AS bookmarks, 'OK' AS status FROM c GROUP BY 1""")
+def pdf_merge(t, spark):
+    from ..sources import pdf_tables
+
+    files = _conversation_files(t).select((F.col("conv_id") % 10).cast("string").alias("group"), F.col("conv_id").alias("src_ord"), F.col("doc_id").alias("title"), F.lit("odd").alias("spec"), "content")
+    return pdf_tables.merge_groups(files).select("group", "files", "pages", "bookmarks", "status")
