@@ -3,7 +3,7 @@
 Two zstandard dictionaries are trained, one on toxic and one on ordinary labelled text:
 each holds the most frequent words of both and then the words that its own documents
 have significantly more often. A text is cut into windows of a few words; each window is
-compressed with either dictionary, after a preamble that both hold (zstandard would
+compressed with either dictionary, between fixed bytes that both hold (zstandard would
 store so short a block as it is). How many bytes the toxic dictionary saves over the
 ordinary one is the window's distance. Distances are calibrated on labelled documents
 that no dictionary saw: a log-likelihood ratio for each distance, and a logistic curve
@@ -42,6 +42,8 @@ THRESHOLD = 0.3
 #: Distances of single windows that a worker remembers.
 REMEMBERED = 400_000
 PREAMBLE = b"|0123456789abcdefghijklmnopqrstuvwxyz-window-compression-length:"
+#: Follows the window, as zstandard starts no match in the last bytes of a block.
+CLOSING = b"~closing-bytes-of-the-window~"
 _PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
@@ -63,7 +65,7 @@ class Distance:
     @staticmethod
     def compressor(content: bytes) -> zstandard.ZstdCompressor:
         params = zstandard.ZstdCompressionParameters.from_level(12, source_size=100, dict_size=40_000, write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-        return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content + PREAMBLE, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+        return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(CLOSING + content + PREAMBLE, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
 
     def histogram(self, text: str) -> np.ndarray:
         """How often each distance from -FAR to FAR comes in the text."""
@@ -74,7 +76,7 @@ class Distance:
         for part, n in Counter(parts).items():
             at = known.get(part)
             if at is None:
-                data = PREAMBLE + b" " + part + b" "
+                data = PREAMBLE + b" " + part + b" " + CLOSING
                 at = len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
                 at = known[part] = min(max(at, -FAR), FAR) + FAR
                 if len(known) > REMEMBERED:

@@ -1,0 +1,50 @@
+"""The registered queries against their SQL, and the pipeline against brute force."""
+
+import importlib.util
+import sys
+from pathlib import Path
+
+import pytest
+
+from foliograph.llm import queries
+
+ROOT = Path(__file__).resolve().parents[2]
+spec = importlib.util.spec_from_file_location("compare", ROOT / "tests/compare.py")
+compare = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(compare)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_matches_sql(spark, sf_dir, name):
+    compare.assert_same(queries.QUERIES[name](spark, sf_dir), queries.ORACLE[name], sf_dir)
+
+
+def test_pipeline_stages(spark, sf_dir):
+    sys.path.insert(0, str(ROOT))
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, state = docs.columns, docs
+    from foliograph.llm.common import Scratch
+
+    scratch, sizes = Scratch(spark, "stages"), [docs.count()]
+    for name, stage in cp.STAGES[:-1]:
+        state = scratch.save(stage(spark, state, sf_dir), name)
+        assert state.columns == columns and state.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+        sizes.append(state.count())
+    assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] >= sizes[4] > 0
+    assert state.where("text like '%\ufffd%'").count() == 0 and state.where("n_chars <> length(text)").count() == 0
+    pieces = cp.run(spark, sf_dir)
+    ids = {r[0] for r in state.select("doc_id").collect()}
+    assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == ids
+
+
+def test_pipeline_takes_empty_tables_and_nulls(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.limit(0).unionByName(docs.limit(30).selectExpr("cast(null as bigint) doc_id", "text", "lang", "source", "n_chars")).unionByName(docs.limit(5)).unionByName(docs.limit(5)).unionByName(docs.limit(1).selectExpr("999999L doc_id", "cast(null as string) text", "lang", "source", "n_chars"))
+    for state in (docs.limit(0), odd):
+        for _, stage in cp.STAGES:
+            state = stage(spark, state, sf_dir)
+            state.count()
