@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int
     varied = texts.where("fold != 3 and toxic > 0").select("toxic", "text").mapInArrow(neighbours, "word binary, before long").groupBy("word").agg(F.countDistinct("before").alias("varied"))
     counts = counts.join(varied, "word", "left").withColumn("toxic", F.least("toxic", F.coalesce("varied", F.lit(0))))
     p, n = F.lit(bad / (good + bad)), F.col("ordinary") + F.col("toxic")
-    rated = counts.where("length(word) between 1 and 64").select("word", n.alias("n"), "toxic", "ordinary", ((F.col("toxic") - n * p) / F.sqrt(n * p * (1 - p))).alias("z")).where("n > 0").persist()
+    rated = counts.where("length(word) between 1 and 64").select("word", n.alias("n"), "toxic", "ordinary", ((F.col("toxic") - n * p) / F.sqrt(n * p * (1 - p))).alias("z")).where("n > 0").coalesce(8).persist()  # the sample bounds it; few tasks send few rows
 
     def content(rows: DataFrame, most: str, size: int) -> bytes:
         return b"".join(b" " + bytes(r[0]) for r in rows.orderBy(F.col(most).desc(), "word").limit(size).select("word").collect()[::-1])
