@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,19 @@ def smallest_hashes(df: DataFrame, limit: int, *columns: str) -> DataFrame:
     return df.orderBy(own, *columns).limit(limit)
 
 
+def with_totals(rows: DataFrame, key: str, totals: dict[str, tuple[Callable, Column]], spread: str, salts: int = 64) -> DataFrame:
+    """rows with totals of their key, such as {"n": (F.sum, F.col("size"))}.
+
+    Totals are made for each key and salt (of column spread) and then for each key, and
+    rows meet them by key and salt, so a key that a third of all rows share is dealt to
+    ``salts`` tasks. Functions must be their own merge, as sum, min and max are.
+    """
+    salted = rows.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    parts = salted.groupBy(key, "salt_").agg(*[f(c).alias(n) for n, (f, c) in totals.items()])
+    whole = parts.groupBy(key).agg(*[f(n).alias(n) for n, (f, _) in totals.items()])
+    return salted.join(parts.select(key, "salt_").join(whole, key), [key, "salt_"]).drop("salt_")
+
+
 class Scratch:
     """Intermediate tables in the folder that all executors share.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, doc_texts
+from .common import Scratch, doc_texts, with_totals
 from .components import components
 from .suffix import runs, spans_of
 
@@ -177,8 +177,9 @@ def pivot_cells(postings: DataFrame, sizes: DataFrame, block_bytes: int) -> Data
     """(pivot, doc, block, blocks): the members of each cell, the pivot in every block."""
     best = postings.groupBy("value").agg(F.max(F.struct("shared", (-F.col("doc")).alias("doc"))).alias("x"), F.count("*").alias("n")).where("n > 1").select("value", (-F.col("x.doc")).alias("pivot"))
     members = postings.join(best, "value").where("doc != pivot").select("pivot", "doc").distinct().join(sizes, "doc")
-    blocks = members.groupBy("pivot").agg(F.ceil(F.sum(F.col("n") * 8) / block_bytes).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "pivot").select("pivot", "doc", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    sized = with_totals(members, "pivot", {"bytes": (F.sum, F.col("n") * 8)}, "doc").withColumn("blocks", F.ceil(F.col("bytes") / block_bytes).cast("int"))
+    dealt = sized.select("pivot", "doc", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    blocks = dealt.select("pivot", "blocks").distinct()
     return dealt.unionByName(blocks.select("pivot", F.col("pivot").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks"))
 
 
