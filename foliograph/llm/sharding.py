@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, with_totals
 from .suffix import runs
 
 BINS = 1024
@@ -219,8 +219,9 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), _hash(text).alias("th"), _hash(F.col("doc_id").cast("long")).alias("rh"), *[c.alias(n) for n, c in named.items()])
     rows = scratch.save(rows, "own-rows")
     if named:  # equal texts get equal coordinates, the least of theirs
-        shared = rows.groupBy("th").agg(*[F.min(n).alias(n) for n in named])
-        rows = scratch.save(rows.drop(*named).join(shared, "th"), "rows")
+        own = [F.col(n).alias(f"own_{n}") for n in named]
+        shared = with_totals(rows.select(*[c for c in rows.columns if c not in named], *own), "th", {n: (F.min, F.col(f"own_{n}")) for n in named}, "rh")
+        rows = scratch.save(shared.drop(*[f"own_{n}" for n in named]), "rows")
     if n_shards is None:
         total = rows.agg(F.sum("size")).first()[0] or 0
         n_shards = max(1, round(total / target_bytes))
