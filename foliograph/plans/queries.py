@@ -1,7 +1,9 @@
 """The registered queries: each applies operators to the driver's tables.
 
-Every query reads whole tables. ORACLE has SQL that gives the same rows; where an
-operator has none, tests hold it against plain Python.
+Every query reads whole tables; reach_from_root and reach_with_barrier then keep, as their
+SQL does, the links of large quantities only, and the reach_all_links queries keep all.
+ORACLE has SQL that gives the same rows; where an operator has none, tests hold it against
+plain Python.
 """
 
 from __future__ import annotations
@@ -187,9 +189,9 @@ def sibling_links(t, spark):
     return order.siblings(t("nation"), "n_regionkey", "n_name", "n_nationkey").select("n_nationkey", "prev", "next")
 
 
-def _links(t) -> DataFrame:
+def _links(t, which: str = "true") -> DataFrame:
     """Customers and the parts they ordered, both ways; parts are negative."""
-    pairs = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).where("l_quantity >= 49").select(F.col("o_custkey").alias("src"), (-F.col("l_partkey")).alias("dst")).distinct()
+    pairs = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).where(which).select(F.col("o_custkey").alias("src"), (-F.col("l_partkey")).alias("dst")).distinct()
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
@@ -198,14 +200,33 @@ _REACH = """WITH RECURSIVE p AS (SELECT DISTINCT o_custkey AS s, -l_partkey AS d
 ), r(node) AS (SELECT c_custkey FROM customer WHERE c_custkey <= 3 {first} UNION SELECT d FROM r JOIN e ON s = node {more}) SELECT node FROM r"""
 
 
+#: What reach_from_root and reach_with_barrier are about; reach_all_links and its twin take every link.
+_LARGE = "l_quantity >= 49"
+
+_REACH_ALL = _REACH.replace(f" WHERE {_LARGE}", "")
+
+
 @query(_REACH.format(first="", more=""))
 def reach_from_root(t, spark):
     roots = t("customer").where("c_custkey <= 3").select(F.col("c_custkey").alias("node"))
-    return graph.reachable(_links(t), roots).select("node")
+    return graph.reachable(_links(t, _LARGE), roots).select("node")
 
 
 @query(_REACH.format(first="AND c_custkey % 7 <> 0", more="WHERE d % 7 <> 0"))
 def reach_with_barrier(t, spark):
+    roots = t("customer").where("c_custkey <= 3").select(F.col("c_custkey").alias("node"))
+    e = _links(t, _LARGE)
+    return graph.reachable(e, roots, e.where("dst % 7 = 0").select(F.col("dst").alias("node"))).select("node")
+
+
+@query(_REACH_ALL.format(first="", more=""))
+def reach_all_links(t, spark):
+    roots = t("customer").where("c_custkey <= 3").select(F.col("c_custkey").alias("node"))
+    return graph.reachable(_links(t), roots).select("node")
+
+
+@query(_REACH_ALL.format(first="AND c_custkey % 7 <> 0", more="WHERE d % 7 <> 0"))
+def reach_all_links_with_barrier(t, spark):
     roots = t("customer").where("c_custkey <= 3").select(F.col("c_custkey").alias("node"))
     e = _links(t)
     return graph.reachable(e, roots, e.where("dst % 7 = 0").select(F.col("dst").alias("node"))).select("node")

@@ -143,6 +143,27 @@ def test_reach_stops_at_barrier_and_cycles(spark):
     assert {r["node"] for r in graph.reachable(edges, roots, wall).collect()} == {1, 2, 3}
 
 
+@pytest.mark.parametrize(("name", "wall"), [("reach_all_links", 0), ("reach_all_links_with_barrier", 7)])
+def test_reach_goes_over_every_link(spark, sf_dir, name, wall):
+    from foliograph import registry
+
+    read = lambda t, *columns: [tuple(r) for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(*columns).collect()]
+    customer, links = dict(read("orders", "o_orderkey", "o_custkey")), {}
+    for order_key, part in read("lineitem", "l_orderkey", "l_partkey"):
+        if order_key in customer:
+            links.setdefault(customer[order_key], set()).add(-part)
+            links.setdefault(-part, set()).add(customer[order_key])
+    stops = lambda n: wall and n % wall == 0
+    todo = [k for (k,) in read("customer", "c_custkey") if k <= 3 and not stops(k)]
+    want = set(todo)
+    while todo:
+        new = {n for n in links.get(todo.pop(), ()) if n not in want and not stops(n)}
+        want |= new
+        todo += new
+    got = [r["node"] for r in registry.QUERIES[name](spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_visible_counts():
     items = [{"id": 1, "parent": 0, "open": True}, {"id": 2, "parent": 1, "open": False}, {"id": 3, "parent": 2, "open": True}, {"id": 4, "parent": 1, "open": True}]
     assert dict(graph.visible_counts(items)) == {1: 2, 2: -1, 3: 0, 4: 0}
