@@ -4,7 +4,10 @@ Texts and benchmark items become lower-cased runs of letters and digits. Fixed m
 pick some positions of a window of tokens and ignore the others; the hashes of what is
 picked are joined between documents and items. A hit fixes how an item lies on a
 document; the whole item is then compared there token by token, so substituted tokens
-lower the overlap and don't hide it. Nothing but DataFrame functions.
+lower the overlap and don't hide it. An overlap is half of an item at one place, or 11 of
+13 tokens around a hit, however long the item, or half of it in pieces at places not
+further apart than its length, as inserted and deleted tokens leave it. Nothing but
+DataFrame functions.
 
 Seeds of a benchmark of at most ``broadcast_bytes`` (counted first) are broadcast and
 documents don't move at all. A larger benchmark is joined by a shuffle of the document
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 3, 4, 6, 9), (0, 2, 3, 5, 9, 10))
 #: Least share of an item's tokens, and least number of them, that make an overlap.
 SHARE, LEAST = 0.5, 8
+#: Tokens of a window around a hit, and how many of them may differ, that make one too.
+WINDOW, CHANGED = 13, 2
 BROADCAST_BYTES = 64 << 20
 
 
@@ -42,7 +47,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int,
     """(doc_id, item_id, place, matched, item_tokens): verified overlaps, one of a pair.
 
     place is the document token on which the item's first token lies; of several the
-    one with most matched tokens, then the first. Items with fewer tokens than a mask
+    one with most matched tokens, then the first. matched counts that place; where only
+    the pieces of several places together make the overlap, it counts the item's tokens
+    in all of them. Items with fewer tokens than a mask
     spans have no seeds and match nothing, as do null or empty texts; rows that share a
     doc_id count together; a null doc_id or item_id is a value like others; empty tables
     give no rows.
@@ -56,18 +63,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int,
     if size <= broadcast_bytes:
         hits = found.join(F.broadcast(seeds), "seed").withColumn("place", F.col("i") - F.col("j"))
     else:
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("h"))
-        hits = found.select("doc_id", "i", "seed").join(seeds.drop("item"), "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("place")).distinct()
-        hits = hits.join(items.withColumnRenamed("h", "item"), hits.item_id.eqNullSafe(items.item_id)).select("doc_id", hits.item_id, "place", "item")
-        hits = hits.join(texts, hits.doc_id.eqNullSafe(texts.doc_id)).select(F.monotonically_increasing_id().alias("row"), hits.doc_id, "item_id", "place", "item", "h")
+        texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("h"))
+        hits = found.select("doc_id", "i", "seed").join(seeds.drop("item"), "seed").select("doc_id", "item_id", "j", (F.col("i") - F.col("j")).alias("place")).distinct()
+        hits = hits.join(items.withColumnRenamed("h", "item"), hits.item_id.eqNullSafe(items.item_id)).select("doc_id", hits.item_id, "j", "place", "item")
+        hits = hits.join(texts, hits.doc_id.eqNullSafe(texts.doc_id)).select("row", hits.doc_id, "item_id", "j", "place", "item", "h")
     # every token of the item at every hit, added up at once: no text leaves its task
-    laid = hits.select("row", "doc_id", "item_id", "place", "item", "h", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("k"))
+    laid = hits.select("row", "doc_id", "item_id", "j", "place", "item", "h", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("k"))
     at = F.col("k") + F.col("place")
     equal = (at >= 0) & F.coalesce(F.get("item", F.col("k")) == F.get("h", F.greatest(at, F.lit(0))), F.lit(False))
-    laid = laid.select("row", "doc_id", "item_id", "place", F.size("item").cast("long").alias("item_tokens"), equal.cast("long").alias("equal"))
-    told = laid.groupBy("row", "doc_id", "item_id", "place", "item_tokens").agg((F.sum("equal") * F.col("item_tokens") / F.count("*")).cast("long").alias("matched"))
-    told = told.where((F.col("matched") >= F.lit(share) * F.col("item_tokens")) & (F.col("matched") >= least))
-    best = told.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("place")).alias("back"), "item_tokens")).alias("x"))
+    laid = laid.select("row", "doc_id", "item_id", "place", "j", "k", F.size("item").cast("long").alias("item_tokens"), equal.cast("long").alias("equal"))
+    # hits of 32 item positions share a bitmap of the equal tokens in the windows around them
+    before = WINDOW - 1 - min(m[-1] for m in masks)
+    block, near = F.floor(F.col("j") / 32).cast("int"), F.col("k").between(F.col("j") - before, F.col("j") + WINDOW - 1)
+    bit = F.when(near, F.call_function("shiftleft", F.col("equal"), F.col("k") - 32 * block + before)).otherwise(F.lit(0).cast("long"))
+    told = laid.groupBy("row", "doc_id", "item_id", "place", "item_tokens", block.alias("block")).agg((F.sum("equal") * F.col("item_tokens") / F.count("*")).cast("long").alias("matched"), F.bit_or(bit).alias("bits"))
+    half = lambda n: (n >= F.lit(share) * F.col("item_tokens")) & (n >= least)
+    window = F.exists(F.sequence(F.lit(0), F.lit(31 + before)), lambda t: F.bit_count(F.call_function("shiftright", F.col("bits"), t).bitwiseAND(F.lit((1 << WINDOW) - 1))) >= WINDOW - CHANGED)
+    place = F.struct("matched", (-F.col("place")).alias("back"))
+    told = told.select("*", place.alias("any"), F.when(half(F.col("matched")) | window, place).alias("single"))
+    # pieces of least tokens meet in stretches of two item lengths, each place in two of them
+    stretch = F.floor(F.col("place") / F.col("item_tokens"))
+    low = F.lit((1 << 32) - 1)
+    right = lambda n: F.shiftrightunsigned("bits", n)
+    parts = [F.shiftleft(F.col("bits").bitwiseAND(F.lit((1 << before) - 1).cast("long")), 32 - before), right(before).bitwiseAND(low), right(32 + before)]
+    pieces = F.array(*[F.struct((stretch + d).alias("stretch"), (F.col("block") + b).alias("block"), F.when(F.bit_count("bits") >= least, x).otherwise(F.lit(0).cast("long")).alias("bits")) for d in (0, 1) for b, x in zip((-1, 0, 1), parts, strict=True)])
+    pair = ["row", "doc_id", "item_id", "item_tokens", "stretch"]
+    met = told.select("row", "doc_id", "item_id", "item_tokens", "any", "single", F.explode(pieces).alias("p")).select("row", "doc_id", "item_id", "item_tokens", "any", "single", "p.*")
+    met = met.groupBy(*pair, "block").agg(F.bit_or("bits").alias("bits"), F.max("any").alias("any"), F.max("single").alias("single"))
+    met = met.groupBy(*pair).agg(F.sum(F.bit_count("bits")).cast("long").alias("joined"), F.max("any").alias("any"), F.max("single").alias("single"))
+    met = met.where(F.col("single").isNotNull() | half(F.col("joined")))
+    alone = F.col("single").isNotNull()
+    x = F.struct(alone.alias("alone"), F.when(alone, F.col("single.matched")).otherwise(F.col("joined")).alias("matched"), F.coalesce("single.back", "any.back").alias("back"), "item_tokens")
+    best = met.groupBy("doc_id", "item_id").agg(F.max(x).alias("x"))
     return best.select("doc_id", "item_id", (-F.col("x.back")).cast("long").alias("place"), "x.matched", "x.item_tokens")
 
 
@@ -78,7 +105,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings: obje
 
 
 def contaminated_sql(masks: tuple[tuple[int, ...], ...] = MASKS, share: float = SHARE, least: int = LEAST) -> str:
-    """The same in SQL, the picked tokens themselves in place of their hashes."""
+    """Overlaps of half an item at one place in SQL (no windows or pieces), the picked tokens themselves in place of their hashes."""
     seeds = {
         at: " UNION ALL ".join(f"SELECT {key}, {at}, w, '{k}:' || " + " || ' ' || ".join(f"w[{at} + {o + 1}]" for o in m) + f" AS seed FROM {at}s WHERE {at} + {m[-1]} < len(w)" for k, m in enumerate(masks))
         for at, key in (("i", "doc_id"), ("j", "item_id"))

@@ -100,6 +100,29 @@ def test_leaks_survive_substitution(spark, docs):
     assert sorted(r[0] for r in left.where("doc_id is not null").select("doc_id").collect()) == [3, 4, 5, 6] and left.columns == table.columns
 
 
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
+def test_leaks_of_less_than_half_an_item(spark, docs, limit):
+    rnd = random.Random(5)
+    noise = lambda n: [f"n{rnd.randrange(10**6)}" for _ in range(n)]
+    long, middle, short = noise(300), noise(60), noise(30)
+    cases = {
+        1: noise(20) + long[90:230] + noise(20),  # a verbatim run
+        2: noise(9) + middle[:28],  # split over two documents
+        3: middle[32:] + noise(9),
+        4: noise(7) + short[:10] + noise(1) + short[10:20] + noise(2) + short[20:] + noise(5),  # inserted
+        5: noise(40) + short[:10] + short[11:20] + short[21:],  # deleted
+        6: noise(33) + long[40:46] + noise(1) + long[47:53] + noise(30),  # one substitution in 13
+        7: noise(3) + long[20:33],
+        8: long[:10] + noise(30) + long[150:160],  # below the window, pieces below half
+        9: noise(4) + middle[:10] + noise(60),
+        10: short[:10] + noise(400) + short[20:],  # pieces far apart
+    }
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(middle)), (3, " ".join(short))], "item_id long, text string")
+    found = decontam.contaminated(docs([(i, " ".join(t)) for i, t in cases.items()]), bench, broadcast_bytes=limit)
+    got = {r["doc_id"]: (r["item_id"], r["place"], r["matched"]) for r in found.collect()}
+    assert got == {1: (1, -70, 140), 2: (2, 9, 28), 3: (2, -32, 28), 4: (3, 7, 30), 5: (3, 40, 28), 6: (1, -7, 12), 7: (1, -17, 13)}
+
+
 # 3 toxicity
 
 
