@@ -11,26 +11,29 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 
 
-def flatten_tree(nodes: DataFrame, inherited: list[str], max_depth: int = 64) -> DataFrame:
+def flatten_tree(nodes: DataFrame, inherited: list[str]) -> DataFrame:
     """Pre-order leaves and inner nodes with inherited attributes.
 
     nodes: (doc_id, node, parent, ord, ...inherited). A node's own value goes first,
     else the nearest ancestor's. path sorts in pre-order. A level a job: each joins
-    children to the nodes reached so far, so a cycle, which no root reaches, is left
-    out, and depth is bounded.
+    children to the nodes of the last one until there are none, so a cycle, which no
+    root reaches where nodes have one parent, is left out. A tree that is deeper than it
+    has rows has a cycle below a root and is an error.
     """
     scratch = Scratch(nodes.sparkSession, "tree")
     top = nodes.where("parent is null")
     level = top.select("doc_id", "node", "parent", *inherited, F.lit(0).alias("depth"), F.array(F.col("ord").cast("long")).alias("path"))
     reached = level = scratch.save(level, "level-0")
-    for depth in range(1, max_depth):
+    for depth in range(1, nodes.count() + 1):
         up = level.select("doc_id", F.col("node").alias("parent"), *[F.col(c).alias(f"up_{c}") for c in inherited], F.col("path").alias("up_path"))
         level = nodes.join(up, ["doc_id", "parent"]).select("doc_id", "node", "parent", *[F.coalesce(c, f"up_{c}").alias(c) for c in inherited], F.lit(depth).alias("depth"), F.concat("up_path", F.array(F.col("ord").cast("long"))).alias("path"))
         level = scratch.save(level, f"level-{depth}")
         if level.isEmpty():
-            break
+            return reached
         reached = reached.unionByName(level)
-    return reached
+    if level.isEmpty():
+        return reached
+    raise ValueError("a root reaches a cycle")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, barrier: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:

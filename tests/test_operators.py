@@ -164,6 +164,12 @@ def test_reach_goes_over_every_link(spark, sf_dir, name, wall):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_deep_trees_keep_every_level(spark):
+    rows = [(0, str(k), str(k - 1) if k else None, 0, "top" if not k else None) for k in range(68)]
+    got = graph.flatten_tree(spark.createDataFrame(rows, "doc_id int, node string, parent string, ord int, box string").coalesce(1), ["box"])
+    assert sorted((r["depth"], r["node"], r["box"]) for r in got.collect()) == [(k, str(k), "top") for k in range(68)]
+
+
 def test_visible_counts():
     items = [{"id": 1, "parent": 0, "open": True}, {"id": 2, "parent": 1, "open": False}, {"id": 3, "parent": 2, "open": True}, {"id": 4, "parent": 1, "open": True}]
     assert dict(graph.visible_counts(items)) == {1: 2, 2: -1, 3: 0, 4: 0}
