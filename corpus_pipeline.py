@@ -7,8 +7,9 @@
 5. packing: what is left becomes pieces of token sequences.
 
 Every stage reads all that the one before kept. All but the last return the columns of
-documents. Repeated rows are one document from stage 2 on; rows without doc_id pass
-stages 2 and 4, which go by doc_id, as they are; empty tables stay empty.
+documents. Stages 2 and 4 decide by doc_id and text together, null or not: rows with equal
+both are one document from stage 2 on, rows that only share a doc_id are several; empty
+tables stay empty.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import Scratch, table
-from foliograph.llm.decontam import without_contaminated
+from foliograph.llm.decontam import row_key, without_contaminated
 from foliograph.llm.minhash import near_duplicates
 from foliograph.llm.packing import pack_documents
 from foliograph.llm.quality import quality_rules
@@ -36,10 +37,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    stay = docs.join(kept, "doc_id", "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1")
-    return stay.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The row with the smallest doc_id, then hash, of each component; one of repeated rows."""
+    keyed = docs.withColumn("row_", row_key())
+    groups = near_duplicates(keyed.select(F.col("row_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_"), F.col("component_id").alias("component_")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_")).alias("first")
+    kept = keyed.select("doc_id", "row_").join(groups, "row_").groupBy("component_").agg(first).select(F.col("first.row_").alias("row_"))
+    one = Window.partitionBy("row_").orderBy(F.xxhash64(*docs.columns))
+    return keyed.join(kept, "row_", "left_semi").withColumn("nth_", F.row_number().over(one)).where("nth_ = 1").select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,10 +98,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int,
     return best.select("doc_id", "item_id", (-F.col("x.back")).cast("long").alias("place"), "x.matched", "x.item_tokens")
 
 
+def row_key() -> Column:
+    """A number for each pair of doc_id and text, null or not."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings: object) -> DataFrame:
-    """The rows of docs that overlap with no item; rows without doc_id stay."""
-    gone = contaminated(docs, benchmark, **settings).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that overlap with no item, each by its own text."""
+    gone = contaminated(docs.select(row_key().alias("doc_id"), "text"), benchmark, **settings).select(F.col("doc_id").alias("row_")).distinct()
+    return docs.withColumn("row_", row_key()).join(gone, "row_", "left_anti").select(*docs.columns)
 
 
 def contaminated_sql(masks: tuple[tuple[int, ...], ...] = MASKS, share: float = SHARE, least: int = LEAST) -> str:

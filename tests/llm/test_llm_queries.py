@@ -57,6 +57,22 @@ def test_pipeline_takes_empty_tables_and_nulls(spark, sf_dir):
             state.count()
 
 
+def test_rows_count_by_id_and_text(spark, sf_dir, tmp_path):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(21)
+    noise = lambda n: " ".join(f"n{rnd.randrange(10**6)}" for _ in range(n))
+    a, b, c, d, item = noise(90), noise(90), noise(90), noise(90), noise(30)
+    leak = f"{noise(20)} {item} {noise(20)}"
+    rows = [(7, a), (7, b), (7, b), (8, a), (None, a), (None, c), (None, c), (9, d), (9, leak), (None, f"{item} {noise(60)}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    single = cp.near_dedup(spark, docs, sf_dir)
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in single.collect())) == sorted([(7, a), (7, b), (0, c), (9, d), (9, leak), (0, rows[-1][1])])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = cp.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in clean) == sorted((i or 0, t) for i, t in rows[:8])
+
+
 def signed(n):
     return n - (1 << 64) if n >= 1 << 63 else n
 
