@@ -25,8 +25,8 @@ from foliograph.llm.quality import quality_rules
 from foliograph.llm.queries import tokenizer_files
 from foliograph.llm.suffix import find_repeats
 
-#: Shortest repeat that is cut, in bytes: well below 50 words of running text.
-REPEAT_BYTES = 240
+#: Shortest repeat that is cut, in bytes: 51 words of two letters take more.
+REPEAT_BYTES = 150
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

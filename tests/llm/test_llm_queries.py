@@ -73,6 +73,17 @@ def test_rows_count_by_id_and_text(spark, sf_dir, tmp_path):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in clean) == sorted((i or 0, t) for i, t in rows[:8])
 
 
+def test_passages_of_short_words_are_cut(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(22)
+    noise = lambda n: " ".join(f"n{rnd.randrange(10**6)}" for _ in range(n))
+    passage = " ".join("".join(rnd.choice("abcdefgh") for _ in range(2)) for _ in range(51))
+    rows = [(k, f"{noise(20)} {passage} {noise(20)}", "en", "s", 0) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(passage) < 200 and not any(passage[20:-20] in r["text"] for r in cp.suffix_dedup(spark, docs, sf_dir).collect())
+
+
 def signed(n):
     return n - (1 << 64) if n >= 1 << 63 else n
 
