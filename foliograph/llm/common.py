@@ -9,8 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but space and \t \n \v \f \r (as Java and Python regex).
-WORD = r"[^\x20\x09-\x0D]+"
+#: Between words: space and \t \n \v \f \r (as Java and Python regex).
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -24,11 +23,6 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def words_of(text: Column) -> Column:
-    """Array of the words of a text; null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -58,19 +52,36 @@ def with_totals(rows: DataFrame, key: str, totals: dict[str, tuple[Callable, Col
     return salted.join(parts.select(key, "salt_").join(whole, key), [key, "salt_"]).drop("salt_")
 
 
+def hot_join(rows: DataFrame, counted: DataFrame, key: str, n: str, spread: str, share: int = 1000, salts: int = 64) -> DataFrame:
+    """rows joined with counted, which has a row a key and in column n its rows.
+
+    At most ``share`` keys can have more than a ``share``-th of all rows each. Those are
+    broadcast and dealt to ``salts`` tasks by column spread, with their row of counted
+    in each, so a key that a third of all rows share stops no task. counted is read
+    three times: save it first.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total / share
+    keys = counted.where(hot).select(key, F.lit(True).alias("hot_"))
+    dealt = rows.join(F.broadcast(keys), key, "left").withColumn("salt_", F.when(F.col("hot_"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("hot_")
+    copies = counted.withColumn("salt_", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [key, "salt_"]).drop("salt_")
+
+
 class Scratch:
     """Intermediate tables in the folder that all executors share.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset, a local
-    session uses a temporary folder and any other session uses its warehouse. A table
-    written here cuts the lineage: when an executor is lost, later jobs reread it.
+    The folder is the session's spark.checkpoint.dir. Only a local session may leave
+    that unset and then uses a temporary folder. A table written here cuts the lineage:
+    when an executor is lost, later jobs reread it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
-            local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-            root = tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir")
+            if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            root = f"file://{tempfile.gettempdir()}"
         self.spark = spark
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -84,7 +95,14 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
+        self._remove(*(self.path(name) for name in names))
+
+    def remove(self) -> None:
+        """Remove all tables."""
+        self._remove(self.root)
+
+    def _remove(self, *paths: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        for name in paths:
+            path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)

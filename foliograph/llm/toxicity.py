@@ -1,26 +1,35 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary labelled text:
-each holds the most frequent words of both and then the words that its own documents
-have significantly more often. A text is cut into windows of a few words; each window is
-compressed with either dictionary, between fixed bytes that both hold (zstandard would
-store so short a block as it is). How many bytes the toxic dictionary saves over the
-ordinary one is the window's distance. Distances are calibrated on labelled documents
-that no dictionary saw: a log-likelihood ratio for each distance, and a logistic curve
-over a document's sum and number of telling windows.
+Two zstandard dictionaries are trained on labelled texts and hold passages of them. Both
+hold ordinary passages; the toxic one also holds passages of toxic texts, and the
+ordinary one has the same passages there without the words that tell toxic texts from
+ordinary ones, so surroundings cost either dictionary the same. A text is cut into
+overlapping windows of several words; each window is compressed with both dictionaries,
+between fixed bytes that both hold (zstandard would store so short a block as it is).
+How many bytes the toxic dictionary saves over the ordinary one is the window's
+distance. Thresholds are calibrated on labelled documents that no dictionary saw: a
+logistic curve over the numbers of windows whose distance reaches each of THRESHOLDS,
+and over the number of windows.
+
+Passages are chosen greedily: those with most weight of words first, each for words
+that aren't covered yet. The weight is a word's significance in toxic texts, or the
+logarithm of its count. Copies of one document are no evidence, so of documents with one
+fingerprint only one counts.
 
 Training uses at most ``sample`` labelled rows (the smallest hashes of ids; a documented
-bound) and never the held-out ones. Word counts are summed in Spark; the driver gets
-the chosen words and one histogram for each calibration document. Scores are a narrow
-pass over all documents.
+bound) and never the held-out ones. The sample is written once in PARTS files; each part
+counts words and proposes passages, and the driver gets significant words, proposals of
+at most a dictionary's size a part, and one histogram a calibration document. Scores are
+a narrow pass over all documents.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +37,23 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, smallest_hashes
-
-#: Labelled rows that training reads at most.
-SAMPLE = 20_000
-#: Words in the shared part and in each own part of a dictionary.
-SHARED_WORDS, OWN_WORDS = 2_500, 1_000
-#: Least significance of an own word, in standard deviations.
-TOXIC_Z, ORDINARY_Z = 5.5, 2.0
-#: Distances beyond this count as this.
-FAR = 12
+from .common import Scratch, doc_texts, smallest_hashes
+
+#: Labelled rows that training reads at most, and files that they are written to.
+SAMPLE, PARTS = 20_000, 8
+#: Words in a window, and from one window's start to the next.
+WINDOW, STEP = 8, 4
+#: Bytes of the passages that both dictionaries hold, and of those that tell them apart.
+SHARED_BYTES, OWN_BYTES = 60_000, 3_000
+#: Words of a kind whose weights the driver knows at most.
+WORDS = 20_000
+#: Least significance of a telling word, in standard deviations.
+TOXIC_Z = 5.5
+#: Distances beyond this count as this; distances at which windows are counted.
+FAR, THRESHOLDS = 24, (2, 3, 4, 5, 6)
 THRESHOLD = 0.3
-#: Distances of single windows that a worker remembers.
-REMEMBERED = 400_000
+#: Windows that are compressed at once.
+AT_ONCE = 20_000
 PREAMBLE = b"|0123456789abcdefghijklmnopqrstuvwxyz-window-compression-length:"
 #: Follows the window, as zstandard starts no match in the last bytes of a block.
 CLOSING = b"~closing-bytes-of-the-window~"
@@ -51,6 +64,17 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_PLAIN).split()
 
 
+def windows(text: str, window: int = WINDOW, step: int = STEP) -> list[bytes]:
+    """Overlapping windows that hold every word; the last may be shorter."""
+    own = words(text)
+    return [b" ".join(own[k : k + window]) for k in range(0, max(1, len(own) - window + step), step)] if own else []
+
+
+def fingerprint(own: list[bytes]) -> int:
+    """Equal for most near copies: the smallest hash of three words in a row."""
+    return min((zlib.crc32(b" ".join(own[k : k + 3])) for k in range(max(1, len(own) - 2))), default=0)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
@@ -58,142 +82,196 @@ def held_out(doc_id: Column) -> Column:
 class Distance:
     """Bytes that the toxic dictionary saves over the ordinary one, window by window."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, window: int):
-        self.window, self.known = window, {}
+    def __init__(self, toxic: bytes, ordinary: bytes, window: int, step: int):
+        self.window, self.step = window, step
         self.ordinary, self.toxic = map(self.compressor, (ordinary, toxic))
 
     @staticmethod
     def compressor(content: bytes) -> zstandard.ZstdCompressor:
-        params = zstandard.ZstdCompressionParameters.from_level(12, source_size=100, dict_size=40_000, write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-        return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(CLOSING + content + PREAMBLE, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
-
-    def histogram(self, text: str) -> np.ndarray:
-        """How often each distance from -FAR to FAR comes in the text."""
-        parts = words(text)
-        if self.window > 1:
-            parts = [b" ".join(parts[k : k + self.window]) for k in range(0, len(parts), self.window)]
-        counts, known = np.zeros(2 * FAR + 1, np.int64), self.known
-        for part, n in Counter(parts).items():
-            at = known.get(part)
-            if at is None:
-                data = PREAMBLE + b" " + part + b" " + CLOSING
-                at = len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
-                at = known[part] = min(max(at, -FAR), FAR) + FAR
-                if len(known) > REMEMBERED:
-                    known.clear()
-            counts[at] += n
+        content = CLOSING + content + PREAMBLE
+        params = zstandard.ZstdCompressionParameters.from_level(9, source_size=200, dict_size=len(content), write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        trained.precompute_compress(compression_params=params)
+        return zstandard.ZstdCompressor(dict_data=trained, compression_params=params)
+
+    def of(self, parts: list[bytes]) -> np.ndarray:
+        data = [PREAMBLE + b" " + part + b" " + CLOSING for part in parts]
+        ordinary, toxic = (c.multi_compress_to_buffer(data, threads=1) for c in (self.ordinary, self.toxic))
+        return np.clip([len(ordinary[k]) - len(toxic[k]) for k in range(len(data))], -FAR, FAR)
+
+    def histograms(self, texts: list[str]) -> np.ndarray:
+        """How often each distance from -FAR to FAR comes in each text."""
+        counts, parts, owner = np.zeros((len(texts), 2 * FAR + 1), np.int64), [], []
+
+        def flush() -> None:
+            if parts:
+                np.add.at(counts, (owner, self.of(parts) + FAR), 1)
+                parts.clear()
+                owner.clear()
+
+        for k, text in enumerate(texts):
+            own = windows(text, self.window, self.step)
+            for at in range(0, len(own), AT_ONCE):
+                parts += own[at : at + AT_ONCE]
+                owner += [k] * (len(parts) - len(owner))
+                if len(parts) >= AT_ONCE:
+                    flush()
+        flush()
         return counts
 
 
 @functools.lru_cache(maxsize=2)
-def distance(toxic: bytes, ordinary: bytes, window: int) -> Distance:
-    """One for each worker, so that what it remembers outlives a task."""
-    return Distance(toxic, ordinary, window)
+def distance(toxic: bytes, ordinary: bytes, window: int, step: int) -> Distance:
+    """One for each worker, so that digested dictionaries outlive a task."""
+    return Distance(toxic, ordinary, window, step)
 
 
-def _features(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(sum of ratios, log of 1 + telling windows, 1) for each row of counts."""
-    return np.stack([counts @ weights, np.log1p(counts @ (weights > 1.5)), np.ones(len(counts))], 1)
+def features(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of the windows at each threshold and of all windows, and 1."""
+    tails = [np.log1p(counts[:, FAR + t :].sum(1)) for t in THRESHOLDS]
+    return np.stack([*tails, np.log1p(counts.sum(1)), np.ones(len(counts))], 1)
 
 
-def calibrated(counts: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ratio of each distance, logistic coefficients) from documents' histograms."""
-    bad, good = counts[toxic == 1].sum(0) + 0.0, counts[toxic == 0].sum(0) + 0.0
-    share = good.sum() / max(bad.sum(), 1)
-    weights = np.log((bad + 1) / (bad.sum() + 2 * FAR + 1)) - np.log((good + share) / (good.sum() + share * (2 * FAR + 1)))
-    x, beta = _features(counts, weights), np.zeros(3)
-    ridge = np.diag([1e-2, 1e-2, 1e-6])
-    for _ in range(50):  # Newton steps of a ridge logistic regression
+def calibrated(counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Coefficients of a ridge logistic regression, by Newton's method."""
+    x = features(counts)
+    beta = np.zeros(x.shape[1])
+    ridge = np.diag([0.3] * (x.shape[1] - 1) + [1e-6])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (toxic - p) - ridge @ beta)
         beta += np.clip(step, -2, 2)
         if abs(step).max() < 1e-9:
             break
-    return weights, beta
+    return beta
 
 
 class Model:
-    """What training leaves: two dictionaries, ratios and coefficients; None without
-    labelled documents of both classes, when every score is the smoothed toxic share."""
+    """What training leaves: two dictionaries and coefficients; None without labelled
+    documents of both classes, when every score is the smoothed toxic share."""
 
-    def __init__(self, share: float, window: int = 1, toxic: bytes = b"", ordinary: bytes = b"", weights: np.ndarray | None = None, beta: np.ndarray | None = None):
-        self.share, self.window, self.toxic, self.ordinary, self.weights, self.beta = share, window, toxic, ordinary, weights, beta
+    def __init__(self, share: float, toxic: bytes = b"", ordinary: bytes = b"", beta: np.ndarray | None = None, window: int = WINDOW, step: int = STEP):
+        self.share, self.toxic, self.ordinary, self.beta, self.window, self.step = share, toxic, ordinary, beta, window, step
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        if self.weights is None:
+        if self.beta is None:
             return np.full(len(texts), self.share)
-        d = distance(self.toxic, self.ordinary, self.window)
-        counts = np.stack([d.histogram(t) for t in texts])
-        return 1 / (1 + np.exp(-np.clip(_features(counts, self.weights) @ self.beta, -30, 30)))
+        counts = distance(self.toxic, self.ordinary, self.window, self.step).histograms(texts)
+        return 1 / (1 + np.exp(-np.clip(features(counts) @ self.beta, -30, 30)))
+
+
+def covering(passages: Iterable[list[bytes]], weight: Callable[[bytes], float], times: int, size: int) -> list[list[bytes]]:
+    """Passages of at most about ``size`` bytes: those with most weight first, each for
+    a word that fewer than ``times`` chosen ones have."""
+    rated = {b" ".join(p): (sum(weight(w) for w in set(p)), p) for p in passages}
+    used, out, total = Counter(), [], 0
+    for text, (score, p) in sorted(rated.items(), key=lambda x: (-x[1][0], x[0])):
+        if score <= 0 or total >= size:
+            break
+        if any(weight(w) > 0 and used[w] < times for w in p):
+            out.append(p)
+            total += len(text) + 1
+            used.update(set(p))
+    return out
+
+
+def dictionaries(toxic: Iterable[list[bytes]], ordinary: Iterable[list[bytes]], telling: dict[bytes, float], common: dict[bytes, float]) -> tuple[bytes, bytes]:
+    """The contents of the toxic and of the ordinary dictionary."""
+    own = covering(toxic, lambda w: telling.get(w, 0.0), 2, OWN_BYTES)
+    shared = covering(ordinary, lambda w: common.get(w, 0.0), 1, SHARED_BYTES)
+    with_words = b" ".join(b" ".join(p) for p in own)
+    without = b" ".join(b" ".join(w for w in p if w not in telling) for p in own).ljust(len(with_words))
+    both = b" " + b" ".join(b" ".join(p) for p in shared) + b" "
+    return with_words + both, without + both
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int = 1) -> Model:
+def _passages(own: list[bytes], window: int) -> Iterator[list[bytes]]:
+    return (own[k : k + window] for k in range(0, len(own), window))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int = WINDOW, step: int = STEP) -> Model:
     """Dictionaries from ids with remainder 0 or 1, calibration from remainder 3."""
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", remainder).where("fold != 2")
     chosen = smallest_hashes(told, sample, "doc_id")
-    texts = doc_texts(docs).where("doc_id is not null").join(F.broadcast(chosen), "doc_id").select("fold", "toxic", "text")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    texts = doc_texts(docs).where("doc_id is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "fold", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    texts = scratch.save(texts.repartition(PARTS, "doc_id"), "sample")
+    try:
+        return _trained(texts, scratch, window, step)
+    finally:
+        scratch.remove()
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents that have each word, by class; the empty word counts documents."""
-        for batch in batches:
-            seen = (Counter(), Counter())
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[toxic > 0].update({b"", *words(text or "")})
-            every = list(seen[0] | seen[1])
-            yield pa.record_batch({"word": pa.array(every, pa.binary()), "ordinary": pa.array([seen[0][w] for w in every], pa.int64()), "toxic": pa.array([seen[1][w] for w in every], pa.int64())})
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _trained(texts: DataFrame, scratch: Scratch, window: int, step: int) -> Model:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                every = words(text or "")
-                pairs = list(set(zip([b"", *every], every, strict=False)))
-                yield pa.record_batch({"word": pa.array([w for _, w in pairs], pa.binary()), "before": pa.array([zlib.crc32(b) for b, _ in pairs], pa.int64())})
+            marks = [fingerprint(words(t)) for t in batch.column(2).to_pylist()]
+            yield pa.record_batch({"doc_id": batch.column(0), "toxic": batch.column(1), "mark": pa.array(marks, pa.int64())})
 
-    counts = texts.where("fold != 3").select("toxic", "text").mapInArrow(found, "word binary, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents that have each word, by class; the empty word counts documents."""
+        seen = (Counter(), Counter())
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[toxic > 0].update({b"", *words(text)})
+        every = list(seen[0] | seen[1])
+        yield pa.record_batch({"word": pa.array(every, pa.binary()), "ordinary": pa.array([seen[0][w] for w in every], pa.int64()), "toxic": pa.array([seen[1][w] for w in every], pa.int64())})
+
+    learn = texts.where("fold != 3")
+    one = learn.select("doc_id", "toxic", "text").mapInArrow(marked, "doc_id long, toxic int, mark long").groupBy("mark", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    learn = scratch.save(learn.join(F.broadcast(one), "doc_id", "left_semi").select("toxic", "text"), "learn")  # at most ``sample`` ids
+    counts = learn.mapInArrow(counted, "word binary, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    counts = scratch.save(counts, "words")
     total = counts.where(F.length("word") == 0).first()
     good, bad = (total["ordinary"], total["toxic"]) if total else (0, 0)
     share = (bad + 1) / (good + bad + 10)
     if not good or not bad:
         return Model(share)
-    # copies of one document aren't evidence: a word counts once for each word before it
-    varied = texts.where("fold != 3 and toxic > 0").select("toxic", "text").mapInArrow(neighbours, "word binary, before long").groupBy("word").agg(F.countDistinct("before").alias("varied"))
-    counts = counts.join(varied, "word", "left").withColumn("toxic", F.least("toxic", F.coalesce("varied", F.lit(0))))
     p, n = F.lit(bad / (good + bad)), F.col("ordinary") + F.col("toxic")
-    rated = counts.where("length(word) between 1 and 64").select("word", n.alias("n"), "toxic", "ordinary", ((F.col("toxic") - n * p) / F.sqrt(n * p * (1 - p))).alias("z")).where("n > 0").coalesce(8).persist()  # the sample bounds it; few tasks send few rows
+    rated = counts.where("length(word) between 1 and 64").select("word", n.alias("n"), "toxic", ((F.col("toxic") - n * p) / F.sqrt(n * p * (1 - p))).alias("z"))
+    telling = {bytes(r["word"]): r["z"] for r in rated.where((F.col("z") > TOXIC_Z) & (F.col("toxic") > 1)).orderBy(F.col("z").desc(), "word").limit(WORDS).collect()}
+    common = {bytes(r["word"]): math.log(r["n"]) for r in rated.where("n > 2").orderBy(F.col("n").desc(), "word").limit(WORDS + len(telling)).collect() if bytes(r["word"]) not in telling}
 
-    def content(rows: DataFrame, most: str, size: int) -> bytes:
-        return b"".join(b" " + bytes(r[0]) for r in rows.orderBy(F.col(most).desc(), "word").limit(size).select("word").collect()[::-1])
+    def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A part's own choice of toxic and of ordinary passages."""
+        found: tuple[list, list] = ([], [])
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for passage in _passages(words(text), window):
+                    if any(w in telling for w in passage) == (toxic > 0):
+                        found[toxic > 0].append(passage)
+        best = covering(found[1], lambda w: telling.get(w, 0.0), 2, OWN_BYTES), covering(found[0], lambda w: common.get(w, 0.0), 1, SHARED_BYTES)
+        yield pa.record_batch({"toxic": pa.array([k == 0 for k, x in enumerate(best) for _ in x], pa.bool_()), "passage": pa.array([b" ".join(x) for own in best for x in own], pa.binary())})
 
-    own_toxic, own_ordinary = (F.col("z") > TOXIC_Z) & (F.col("toxic") > 1), F.col("z") < -ORDINARY_Z
-    shared = content(rated.where(~own_toxic & ~own_ordinary), "n", SHARED_WORDS)
-    toxic = shared + content(rated.where(own_toxic), "toxic", OWN_WORDS) + b" "
-    ordinary = shared + content(rated.where(own_ordinary), "ordinary", OWN_WORDS) + b" "
-    rated.unpersist()
+    passages = learn.mapInArrow(proposed, "toxic boolean, passage binary").collect()
+    split = [[bytes(r["passage"]).split() for r in passages if r["toxic"] is kind] for kind in (True, False)]
+    toxic, ordinary = dictionaries(*split, telling, common)
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = distance(toxic, ordinary, window)
+        d = distance(toxic, ordinary, window, step)
         for batch in batches:
-            rows = [d.histogram(t or "").astype("<i8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.record_batch({"toxic": batch.column(0), "counts": pa.array(rows, pa.binary())})
+            rows = d.histograms(batch.column(1).to_pylist()).astype("<i8")
+            yield pa.record_batch({"toxic": batch.column(0), "counts": pa.array([r.tobytes() for r in rows], pa.binary())})
 
     rows = texts.where("fold = 3").select("toxic", "text").mapInArrow(histograms, "toxic int, counts binary").collect()
     truth = np.array([r[0] > 0 for r in rows], float)
     if not 0 < truth.sum() < len(truth):
         return Model(share)
-    weights, beta = calibrated(np.stack([np.frombuffer(bytes(r[1]), "<i8") for r in rows]), truth)
-    return Model(share, window, toxic, ordinary, weights, beta)
+    beta = calibrated(np.stack([np.frombuffer(bytes(r[1]), "<i8") for r in rows]), truth)
+    return Model(share, toxic, ordinary, beta, window, step)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int = 1, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int = WINDOW, step: int = STEP, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs.
 
-    Empty and null texts score like a text without telling windows. Repeated rows score
-    alike, a null doc_id is not held out, and an empty table gives no rows. Labels with
-    a null in either column teach nothing; of contrary labels the toxic one counts.
+    Empty and null texts have no windows and get the curve's value there. Repeated rows
+    score alike, a null doc_id is not held out, and an empty table gives no rows. Whole
+    texts are scored, long ones in slices. Labels with a null in either column teach
+    nothing; of contrary labels the toxic one counts.
     """
-    model = train(docs, labels, sample, window)
+    model = train(docs, labels, sample, window, step)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -126,22 +126,31 @@ def test_leaks_of_less_than_half_an_item(spark, docs, limit):
 # 3 toxicity
 
 
-def test_toxicity_learns_and_holds_out(spark, docs):
+def toxic_table(n=1200):
+    """Labelled texts of one make, a fifth of them with a few telling words."""
     rnd = random.Random(6)
     bad, words = ["vile", "awful", "horrid"], [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("an", "ero", "il", "und", "ots")]
     rows, labels = [], []
-    for i in range(1200):
+    for i in range(n):
         toxic = rnd.random() < 0.2
         text = [rnd.choice(words) + rnd.choice(["", "s"]) for _ in range(rnd.randint(20, 60))]
         for _ in range(4 * toxic):
             text[rnd.randrange(len(text))] = rnd.choice(bad)
         rows.append((i, " ".join(text)))
         labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_toxicity_learns_and_holds_out(spark, docs):
+    rows, labels = toxic_table()
     truth = dict(labels)
     label_table = spark.createDataFrame([*labels, (None, 1), (5000, None)], "doc_id long, toxic int")
-    table = docs([*rows, (9001, None), (9002, ""), (None, "x")])
-    got = {r["doc_id"]: r for r in toxicity.toxicity(table, label_table).collect()}
-    assert len(got) == 1203 and all(0 <= r["score"] <= 1 for r in got.values())
+    long = " ".join(t for _, t in rows)
+    table = docs([*rows, (9001, None), (9002, ""), (None, "x"), (9003, long), (9004, long), rows[0], rows[0]])
+    every = toxicity.toxicity(table, label_table).collect()
+    got = {r["doc_id"]: r for r in every}
+    assert len(every) == 1207 and all(0 <= r["score"] <= 1 for r in every)
+    assert len({r["score"] for r in every if r["doc_id"] == 0}) == 1 and got[9003]["score"] == got[9004]["score"]
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items() if i is not None)
     test = [i for i in truth if got[i]["held_out"]]
     assert np.mean([got[i]["predicted"] == truth[i] for i in test]) > 0.95
@@ -150,6 +159,59 @@ def test_toxicity_learns_and_holds_out(spark, docs):
     assert 0 <= none["score"] <= 1
 
 
+def test_toxicity_matches_a_plain_version(spark, docs):
+    """Dictionaries, distances, coefficients and scores once more, without Spark."""
+    import zstandard
+
+    rows, labels = toxic_table(600)
+    rows += [(2000 + k, rows[k][1]) for k in range(40)]  # copies are no evidence
+    labels += [(2000 + k, labels[k][1]) for k in range(40)]
+    truth = dict(labels)
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i in truth}
+    own = {i: t.split() for i, t in rows}
+    mark = {i: min(zlib.crc32(" ".join(w[k : k + 3]).encode()) for k in range(len(w) - 2)) for i, w in own.items()}
+    one = {}
+    for i in sorted(own, reverse=True):
+        if fold[i] < 2:
+            one[mark[i], truth[i]] = i
+    learn = sorted(one.values())
+    n, bad = collections.Counter(), collections.Counter()
+    for i in learn:
+        n.update(set(own[i]))
+        bad.update(set(own[i]) if truth[i] else ())
+    p = sum(truth[i] for i in learn) / len(learn)
+    z = {w: (bad[w] - n[w] * p) / (n[w] * p * (1 - p)) ** 0.5 for w in n}
+    telling = {w: x for w, x in z.items() if x > toxicity.TOXIC_Z and bad[w] > 1}
+    assert set(telling) == {"vile", "awful", "horrid"}
+    model = toxicity.train(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert all(model.toxic.count(w.encode()) > 0 == model.ordinary.count(w.encode()) for w in telling)
+    passages = {" ".join(own[i][k : k + 8]) for i in learn for k in range(0, len(own[i]), 8)}
+    assert len(model.toxic) == len(model.ordinary)
+    told = model.toxic.decode().split()
+    assert sum(" ".join(told[k : k + 8]) in passages for k in range(len(told) - 8)) > len(told) / 10  # texts, not lists
+
+    def lengths(content, parts):
+        data = toxicity.CLOSING + content + toxicity.PREAMBLE
+        params = zstandard.ZstdCompressionParameters.from_level(9, source_size=200, dict_size=len(data), write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
+        c = zstandard.ZstdCompressor(dict_data=d, compression_params=params)
+        return np.array([len(c.compress(toxicity.PREAMBLE + b" " + x.encode() + b" " + toxicity.CLOSING)) for x in parts])
+
+    def numbers(words):
+        parts = [" ".join(words[k : k + 8]) for k in range(0, max(1, len(words) - 4), 4)]
+        d = np.clip(lengths(model.ordinary, parts) - lengths(model.toxic, parts), -24, 24)
+        return [*[np.log1p((d >= t).sum()) for t in toxicity.THRESHOLDS], np.log1p(len(parts)), 1.0]
+
+    x = np.array([numbers(own[i]) for i in own if fold[i] == 3])
+    y = np.array([truth[i] for i in own if fold[i] == 3])
+    gradient = x.T @ (y - 1 / (1 + np.exp(-x @ model.beta))) - np.array([0.3] * 6 + [1e-6]) * model.beta
+    assert np.abs(gradient).max() < 1e-4  # the penalised likelihood's maximum
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    for i in list(own)[::7]:
+        assert abs(got[i] - 1 / (1 + np.exp(-np.array(numbers(own[i])) @ model.beta))) < 1e-9
+
+
 def test_held_out_labels_are_never_read(spark, docs):
     rows = [(i, "good plain words here" if i % 3 else "vile thing " * 3) for i in range(400)]
     labels = [(i, int(i % 3 == 0)) for i in range(400)]
