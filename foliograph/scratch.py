@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 class Scratch:
     """Tables under spark.checkpoint.dir, which cut the lineage of what reads them.
 
-    Where that is unset, a local session uses a temporary folder and any other one its
-    warehouse.
+    Only a local session may leave that unset and then uses a temporary folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
-            root = tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+            if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            root = f"file://{tempfile.gettempdir()}"
         self.spark, self.root = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
