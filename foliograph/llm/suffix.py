@@ -6,8 +6,10 @@ documents, and the first occurrence goes like any other.
 
 Method. Inside a text, prefix doubling gives every byte position a 64-bit name for its
 prefix of 1, 2, 4, ... bytes: the name of 2h bytes is the name of the pair of ranks at
-offset h (overlapping pairs give lengths between two powers). Over the corpus, position
-and rank pairs are sorted and reranked in rounds:
+offset h (overlapping pairs give lengths between two powers). Names stand for ranks, as
+equal prefixes have equal names; so no position has to travel for the short offsets,
+where nearly all of them repeat. Over the corpus, Spark sorts position and rank pairs at
+two growing offsets, equal neighbours are reranked, and what is unique drops out:
 
 1. Only sampled positions travel at first. Each start of a string is owned by the
    smallest 16-byte name of its first ``window`` positions, which depends on content only,
@@ -15,22 +17,25 @@ and rank pairs are sorted and reranked in rounds:
    segment. Pairs (rank of the prefix shared by all strings of the segment, rank of the
    whole segment) are sorted. A segment whose first rank is unique is done: none of its
    strings repeats. A segment whose pair repeats is done: all of them do.
-2. What is left, and one representative of each repeated segment beside it, sends the
-   96-bit names of its single strings, past the threshold; those are sorted once more.
+2. What is left, and one representative of each repeated segment beside it, sends pairs
+   of ranks that reach the threshold, for each of its strings; those are sorted once more.
 
 Names repeated inside a task go into a shuffle once, so a passage that a third of all
-documents share costs a row for each task. Rows hold packed arrays; a task holds its
-shuffle partition, so memory follows spark.sql.shuffle.partitions.
+documents share costs a row for each task. A prefix that many documents continue in
+different ways can't be merged so; such prefixes are looked for in a sample of documents
+and dealt by their whole pair, which decides the same segments. Sorted rows are read in
+batches and only a run of equal first ranks is held. Parts are sized by the bytes of all
+texts, so a task's memory doesn't follow the input.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +48,14 @@ UNIT, BLOCK = 1 << 20, 32 << 20
 #: Stands for a null doc_id where documents are looked up.
 NO_ID = -(1 << 63)
 REPEATED, OPEN, WITNESS = 1, 2, 3
+#: Text bytes of a part, and rows that are packed together.
+PART_BYTES, PACK_ROWS = 24 << 20, 200_000
+#: One of so many documents is looked at for frequent prefixes; of those so many are dealt apart.
+SAMPLED, HOT = 64, 10_000
+#: Flags of a segment: more of it in its task, repeated in its task, a frequent prefix.
+MANY, KNOWN, FREQUENT = 1, 2, 4
+#: Flag of a string that wants to know, and strings that are named together.
+ASKING, STRINGS_AT_ONCE = 8, 2_000_000
 
 
 class Names:
@@ -133,8 +146,19 @@ def segments(texts: list[bytes], min_bytes: int) -> dict[str, np.ndarray]:
     return {c: np.concatenate([x[c] for x in found]) if found else np.empty(0, t) for c, t in kinds.items()}
 
 
-def part_of(doc_id: int, parts: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % parts
+def parts_of(doc: np.ndarray, crc: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each document, by its id and text, as part_column() gives it."""
+    order = np.lexsort((crc, doc))
+    starts = runs(doc[order], crc[order])
+    own = [zlib.crc32(f"{d}:{c}".encode()) % parts for d, c in zip(doc[order][starts].tolist(), crc[order][starts].tolist(), strict=True)]
+    out = np.empty(len(doc), np.int64)
+    out[order] = np.repeat(np.array(own, np.int64), np.diff(np.r_[starts, len(doc)]))
+    return out
+
+
+def part_column(parts: int) -> Column:
+    key = F.concat_ws(":", F.coalesce("doc_id", F.lit(NO_ID)).cast("string"), F.crc32("bytes").cast("string"))
+    return F.pmod(F.crc32(key), F.lit(parts)).cast("int")
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:
@@ -147,9 +171,9 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, change])
 
 
-SEGMENTS = {"core": "<u8", "full": "<u8", "many": "<u1", "doc": "<i8", "crc": "<u4", "pos": "<u4", "ln": "<u2", "status": "<u1"}
-STATUS = {c: SEGMENTS[c] for c in ("doc", "crc", "pos", "ln", "status")}
-STRINGS = {"a": "<u8", "b": "<u4", "origin": "<u4", "at": "<u4", "open": "<u1"}
+SEGMENTS = "part int, core long, full long, doc long, place long, mark long"
+STRINGS = "part int, a long, b long, place long, flags int"
+STATUS = {"doc": "<i8", "crc": "<u4", "pos": "<u4", "ln": "<u2", "status": "<u1"}
 
 
 def packed(part: np.ndarray, arrays: dict[str, np.ndarray], kinds: dict[str, str]) -> Iterator[pa.RecordBatch]:
@@ -173,70 +197,135 @@ def packed_schema(kinds: dict[str, str]) -> str:
     return ", ".join(["part int", *(f"{c} binary" for c in kinds)])
 
 
-def named_segments(docs: DataFrame, min_bytes: int, parts: int) -> DataFrame:
-    """Round 1, map side: rank pairs of all segments, one row for each pair in a task."""
+class Gathered:
+    """Arrays that are packed together once there are enough of them."""
+
+    def __init__(self, kinds: dict[str, str]):
+        self.kinds, self.found, self.size = kinds, [], 0
+
+    def add(self, part: np.ndarray, arrays: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        self.found.append((part, {c: arrays[c] for c in self.kinds}))
+        self.size += len(part)
+        if self.size >= PACK_ROWS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            yield from packed(np.concatenate([p for p, _ in self.found]), {c: np.concatenate([x[c] for _, x in self.found]) for c in self.kinds}, self.kinds)
+        self.found, self.size = [], 0
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, texts) of the texts that have a string, about BLOCK bytes at once."""
+    ids, texts, total = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if len(text) >= min_bytes:
+                ids.append(doc_id)
+                texts.append(text)
+                total += len(text)
+            if total >= BLOCK:
+                yield ids, texts
+                ids, texts, total = [], [], 0
+    if texts:
+        yield ids, texts
+
+
+def frequent_prefixes(docs: DataFrame, min_bytes: int, parts: int) -> np.ndarray:
+    """Sorted names of the first ranks that would fill a quarter of a part and more.
+
+    Counted in one of SAMPLED documents. They only tell how rows are dealt: no result
+    depends on them, so the HOT most frequent are enough.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, total = [], [], 0
+        for _, texts in text_blocks(batches, min_bytes):
+            core, n = np.unique(segments(texts, min_bytes)["core"], return_counts=True)
+            yield pa.record_batch({"core": pa.array(core.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "bytes"), F.lit(SAMPLED)) == 0).select(F.coalesce("doc_id", F.lit(NO_ID)), "bytes")
+    counts = some.mapInArrow(rows, "core long, n long").groupBy("core").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") > max(8, total // (4 * parts))).orderBy(F.col("n").desc(), "core").limit(HOT).collect()
+    return np.sort(np.array([r["core"] for r in found], np.int64).view(U64))
+
 
-        def flush() -> Iterator[pa.RecordBatch]:
+def named_segments(docs: DataFrame, min_bytes: int, parts: int, hot: np.ndarray) -> DataFrame:
+    """Round 1, map side: rank pairs of all segments, one row for each pair in a task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_blocks(batches, min_bytes):
             found = segments(texts, min_bytes)
-            if not len(found["pos"]):
-                return
             order = np.lexsort((found["full"], found["core"]))
             found = {c: x[order] for c, x in found.items()}
             first = runs(found["core"], found["full"])
-            count = np.diff(np.r_[first, len(order)])
-            head = np.zeros(len(order), bool)
-            head[first] = True
-            found["many"] = np.zeros(len(order), np.uint8)
-            found["many"][first] = count > 1
-            found["status"] = np.where(head, 0, REPEATED)
-            found["doc"] = np.array(ids, np.int64)[found["text"]]
-            found["crc"] = np.array([zlib.crc32(x) for x in texts], np.uint32)[found["text"]]
-            to = np.array([part_of(x, parts) for x in ids])[found["text"]]
-            yield from packed(np.where(head, (found["core"] % U64(parts)).astype(np.int64), to), found, SEGMENTS)
+            flags = np.full(len(order), KNOWN)
+            flags[first] = np.where(np.diff(np.r_[first, len(order)]) > 1, MANY, 0)
+            frequent = np.isin(found["core"], hot)
+            part = (np.where(frequent, found["full"], found["core"]) % U64(parts)).astype(np.int32)
+            doc = np.array(ids, np.int64)[found["text"]]
+            crc = np.array([zlib.crc32(x) for x in texts], np.int64)[found["text"]]
+            known = flags == KNOWN
+            names = {c: pa.array(np.where(known, U64(0), found[c]).view(np.int64)) for c in ("core", "full")}
+            place = found["pos"].astype(np.int64) << 16 | found["ln"].astype(np.int64)
+            yield pa.record_batch({"part": pa.array(part), **names, "doc": pa.array(doc), "place": pa.array(place), "mark": pa.array(crc << 8 | flags | np.where(frequent, FREQUENT, 0))})
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(text) >= min_bytes:
-                    ids.append(doc_id)
-                    texts.append(text)
-                    total += len(text)
-                if total >= BLOCK:
-                    yield from flush()
-                    ids, texts, total = [], [], 0
-        if texts:
-            yield from flush()
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)), "bytes").mapInArrow(rows, SEGMENTS)
+
+
+def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
 
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)), F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).mapInArrow(rows, packed_schema(SEGMENTS))
+
+def whole_runs(batches: Iterator[pa.RecordBatch], group: Callable[[dict[str, np.ndarray]], tuple], rows: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]], apart: Callable[[dict[str, np.ndarray]], np.ndarray], also: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """rows() of sorted batches, cut between two groups only; apart rows go to also()."""
+    rest = None
+    for batch in batches:
+        x = _arrays(batch)
+        alone = apart(x)
+        if alone.any():
+            yield from also({c: v[alone] for c, v in x.items()})
+            x = {c: v[~alone] for c, v in x.items()}
+        rest = x if rest is None else {c: np.concatenate([rest[c], x[c]]) for c in x}
+        starts = runs(*group(rest))
+        if len(starts) > 1:
+            yield from rows({c: v[: starts[-1]] for c, v in rest.items()})
+            rest = {c: v[starts[-1] :] for c, v in rest.items()}
+    if rest is not None and len(rest["part"]):
+        yield from rows(rest)
 
 
 def ranked_segments(named: DataFrame, parts: int) -> DataFrame:
-    """Round 1, reduce side: the segments that aren't done or that repeat, by document."""
+    """Round 1, reduce side: the segments that aren't done or that repeat, by document.
+
+    Rows come sorted by part and rank pair.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = unpacked(list(batches), SEGMENTS)
-        known = found["status"] == REPEATED
-        x = {c: v[~known] for c, v in found.items()}
-        order = np.lexsort((x["full"], x["core"]))
-        x = {c: v[order] for c, v in x.items()}
-        n = len(order)
-        pair, core = runs(x["core"], x["full"]), runs(x["core"])
-        in_pair = np.repeat(np.arange(len(pair)), np.diff(np.r_[pair, n]))
-        in_core = np.repeat(np.arange(len(core)), np.diff(np.r_[core, n]))
-        weight = 1 + x["many"].astype(np.int64)
-        repeated = np.bincount(in_pair, weight, len(pair))[in_pair] > 1
-        alive = np.bincount(in_core, weight, len(core))[in_core] > 1
-        undecided = np.bincount(in_core, alive & ~repeated, len(core))[in_core] > 0
-        head = np.zeros(n, bool)
-        head[pair] = True
-        x["status"] = np.where(repeated, np.where(undecided & head, WITNESS, REPEATED), OPEN)
-        out = {c: np.concatenate([x[c][alive], found[c][known]]) for c in STATUS}
-        ids, which = np.unique(out["doc"], return_inverse=True)
-        yield from packed(np.array([part_of(k, parts) for k in ids.tolist()], np.int64)[which], out, STATUS)
-
-    return named.repartition("part").mapInArrow(rows, packed_schema(STATUS))
+        gathered = Gathered(STATUS)
+
+        def told(x: dict[str, np.ndarray], status: np.ndarray) -> Iterator[pa.RecordBatch]:
+            crc = x["mark"] >> 8
+            yield from gathered.add(parts_of(x["doc"], crc, parts), {"doc": x["doc"], "crc": crc, "pos": x["place"] >> 16, "ln": x["place"] & 0xFFFF, "status": status})
+
+        def reranked(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            n = len(x["part"])
+            pair, core = runs(x["core"], x["full"]), runs(x["core"])
+            in_pair = np.repeat(np.arange(len(pair)), np.diff(np.r_[pair, n]))
+            in_core = np.repeat(np.arange(len(core)), np.diff(np.r_[core, n]))
+            weight, frequent = 1 + (x["mark"] & MANY), (x["mark"] & FREQUENT) > 0
+            repeated = np.bincount(in_pair, weight, len(pair))[in_pair] > 1
+            alive = frequent | (np.bincount(in_core, weight, len(core))[in_core] > 1)
+            undecided = frequent | (np.bincount(in_core, alive & ~repeated, len(core))[in_core] > 0)
+            head = np.zeros(n, bool)
+            head[pair] = True
+            status = np.where(repeated, np.where(undecided & head, WITNESS, REPEATED), OPEN)
+            yield from told({c: v[alive] for c, v in x.items()}, status[alive])
+
+        yield from whole_runs(batches, lambda x: (x["core"], np.where((x["mark"] & FREQUENT) > 0, x["full"], 0)), reranked, lambda x: (x["mark"] & KNOWN) > 0, lambda x: told(x, np.full(len(x["part"]), REPEATED)))
+        yield from gathered.rest()
+
+    return named.repartition(parts, "part").sortWithinPartitions("core", "full").mapInArrow(rows, packed_schema(STATUS))
 
 
 class Statuses:
@@ -338,13 +427,15 @@ def find_repeats(docs: DataFrame, min_bytes: int = 400, whole_characters: bool =
     if min_bytes < 64:
         raise ValueError("min_bytes must be 64 at least")
     spark = docs.sparkSession
-    parts = 2 * shuffle_partitions(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     extra = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("struct<none:int>")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), extra.alias("extra"))
-    statuses = ranked_segments(named_segments(base, min_bytes, parts), parts)
-    texts = base.select(F.pmod(F.crc32(F.coalesce("doc_id", F.lit(NO_ID)).cast("string")), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "doc_id", F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("bytes"), "extra")
-    both = texts.unionByName(statuses.withColumn("kind", F.lit(0)), allowMissingColumns=True).repartition("part").sortWithinPartitions("part", "kind", "doc_id")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.encode(F.col("text").cast("string"), "UTF-8"), F.lit(b"")).alias("bytes"), extra.alias("extra"))
+    size = base.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    parts = max(2 * shuffle_partitions(spark), -(-size // PART_BYTES))
+    plain = base.select("doc_id", "bytes")
+    statuses = ranked_segments(named_segments(plain, min_bytes, parts, frequent_prefixes(plain, min_bytes, parts)), parts)
+    texts = base.select(part_column(parts).alias("part"), F.lit(1).alias("kind"), "doc_id", "bytes", "extra")
+    both = texts.unionByName(statuses.withColumn("kind", F.lit(0)), allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", "kind", "doc_id")
     extra_type = base.schema["extra"].dataType
     result = T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary").add("extra", extra_type)
     carried = T.StructType.fromDDL("part int, kind int, doc_id long, bytes binary, spans binary, asked binary").add("extra", extra_type)
@@ -388,34 +479,47 @@ def find_repeats(docs: DataFrame, min_bytes: int = 400, whole_characters: bool =
             at += int(asked[:, 1].sum())
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Round 2, map side: names of single strings; at counts those of a part."""
+        """Round 2, map side: names of single strings, equal ones of a block once; at
+        counts those of a part."""
         last, at, found, size = None, 0, [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            x = {c: np.concatenate([f[c] for f in found]) for c in STRINGS}
-            yield from packed((x["a"] % U64(parts)).astype(np.int64), x, STRINGS)
+        def flush() -> pa.RecordBatch:
+            a, b, place, asking = (np.concatenate([f[k] for f in found]) for k in range(4))
+            order = np.lexsort((b, a))
+            first = runs(a[order], b[order])
+            flags = np.full(len(order), KNOWN)
+            flags[first] = np.where(np.diff(np.r_[first, len(order)]) > 1, MANY, 0)
+            sent = (flags != KNOWN) | asking[order]
+            order, flags = order[sent], flags[sent] | np.where(asking[order][sent], ASKING, 0)
+            return pa.record_batch({"part": pa.array((a[order] % U64(parts)).astype(np.int32)), "a": pa.array(a[order].view(np.int64)), "b": pa.array(b[order].astype(np.int64)), "place": pa.array(place[order]), "flags": pa.array(flags.astype(np.int32))})
 
         for part, _, _, text, _, asked in undecided(batches):
             at = at if part == last else 0
             last = part
             a, b = string_names(text, asked, min_bytes)
-            found.append({"a": a, "b": b, "origin": np.full(len(a), part), "at": np.arange(at, at + len(a)), "open": np.repeat(asked[:, 2], asked[:, 1])})
+            found.append((a, b, part << 32 | np.arange(at, at + len(a)), np.repeat(asked[:, 2] > 0, asked[:, 1])))
             at, size = at + len(a), size + len(a)
-            if size >= 2_000_000:
-                yield from flush()
+            if size >= STRINGS_AT_ONCE:
+                yield flush()
                 found, size = [], 0
         if found:
-            yield from flush()
+            yield flush()
 
     def repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Round 2, reduce side: the strings of undecided segments that repeat."""
-        x = unpacked(list(batches), STRINGS)
-        order = np.lexsort((x["b"], x["a"]))
-        starts = runs(x["a"][order], x["b"][order])
-        count = np.diff(np.r_[starts, len(order)])
-        hit = order[np.repeat(count > 1, count)]
-        hit = hit[x["open"][hit] == 1]
-        yield from packed(x["origin"][hit], {"at": x["at"][hit]}, {"at": "<u4"})
+        gathered = Gathered({"at": "<u4"})
+
+        def told(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            yield from gathered.add(x["place"] >> 32, {"at": x["place"] & 0xFFFFFFFF})
+
+        def reranked(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            pair = runs(x["a"], x["b"])
+            in_pair = np.repeat(np.arange(len(pair)), np.diff(np.r_[pair, len(x["a"])]))
+            hit = (np.bincount(in_pair, 1 + (x["flags"] & MANY), len(pair))[in_pair] > 1) & ((x["flags"] & ASKING) > 0)
+            yield from told({c: v[hit] for c, v in x.items()})
+
+        yield from whole_runs(batches, lambda x: (x["a"], x["b"]), reranked, lambda x: (x["flags"] & KNOWN) > 0, told)
+        yield from gathered.rest()
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, hits, known_hits = None, [], None
@@ -440,11 +544,13 @@ def find_repeats(docs: DataFrame, min_bytes: int = 400, whole_characters: bool =
                     spans.append(merged(np.r_[known[1:], np.stack([found, found + min_bytes], 1)]))
                 yield finished(rows.column("doc_id").to_pylist(), rows.column("bytes").to_pylist(), spans, rows.column("extra"))
 
-    hits = both.mapInArrow(strings, packed_schema(STRINGS)).repartition("part").mapInArrow(repeated_strings, "part int, at binary")
+    hits = both.mapInArrow(strings, STRINGS).repartition(parts, "part").sortWithinPartitions("a", "b").mapInArrow(repeated_strings, "part int, at binary")
     open_docs = both.mapInArrow(carry, carried).unionByName(hits.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    return both.mapInArrow(decided, result).unionByName(open_docs.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(settled, result))
+    return both.mapInArrow(decided, result).unionByName(open_docs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(settled, result))
 
 
 def text_columns(found: DataFrame) -> DataFrame:
-    """Counts and the digest of what stays of each document."""
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Counts and the digest of what stays of each document, and that as text, where
+    bytes of characters that were cut in two become U+FFFD."""
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))

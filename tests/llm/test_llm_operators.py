@@ -247,7 +247,23 @@ def test_repeats_match_brute_force(spark, docs, size):
     rows += [(15, base)]
     got = suffix.text_columns(suffix.find_repeats(docs(rows), size)).collect()
     want = brute_repeats([(t or "").encode() for _, t in rows], size)
-    assert collections.Counter((r["doc_id"], *tuple(r)[1:]) for r in got) == collections.Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
+    assert collections.Counter((r["doc_id"], *tuple(r)[1:5]) for r in got) == collections.Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
+
+
+def test_frequent_prefixes_are_dealt_apart(docs, monkeypatch):
+    rnd = random.Random(31)
+    noise = lambda n: "".join(rnd.choice("abcdef ") for _ in range(n))
+    common = noise(260)
+    rows = [(k, noise(150) + common + noise(150)) for k in range(60)] + [(100 + k, "x" + common + "y" * 90) for k in range(30)]
+    rows += [(None, noise(90) + common + noise(20)) for _ in range(5)] + [(7, noise(300)), (7, common)]
+    monkeypatch.setattr(suffix, "SAMPLED", 1)
+    monkeypatch.setattr(suffix, "STRINGS_AT_ONCE", 500)
+    plain = docs(rows).select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    assert len(suffix.frequent_prefixes(plain, 200, 4)) > 0
+    got = suffix.text_columns(suffix.find_repeats(docs(rows), 200)).collect()
+    want = brute_repeats([t.encode() for _, t in rows], 200)
+    assert collections.Counter((r["doc_id"], *tuple(r)[1:5]) for r in got) == collections.Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
+    assert all(len(r["text"].encode()) == r["n_bytes"] - r["n_removed"] for r in got)
 
 
 def test_repeats_keep_other_columns_and_whole_characters(docs):
