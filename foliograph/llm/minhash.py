@@ -9,13 +9,22 @@
    of little else.
 4. Under a value, classes gather round a pivot, the one that shares most. All classes of
    one pivot form a cell, so a pair that meets under many values meets once. Cells are
-   dealt out in blocks of bounded bytes. In a block, collisions of signatures are
-   counted for one class against the others, classes that are linked already are
-   skipped, pairs at the match threshold or above are confirmed on the full sets, and a
-   block tells no more links than connect its classes.
-5. Cells of several blocks: classes outside the cell's largest component visit the
-   other blocks and are compared there too, so no pair of a cell is left out.
+   dealt out in blocks of bounded bytes and bounded numbers of classes, the pivot in
+   each. In a block, collisions of signatures are counted for one class against the
+   others, classes that are linked already are skipped, pairs at the match threshold or
+   above are confirmed on the full sets, and a block tells no more links than connect
+   its classes.
+5. Cells of several blocks whose classes aren't one component yet: two classes of one
+   such cell that link share one of the rarest shingles of either (a prefix filter on
+   the sets themselves, which is exact). Those shingles are posted; under each, classes
+   outside its most frequent component meet the others, in blocks again. Pairs that
+   sizes or positions rule out are dropped, the others are confirmed on the full sets.
+   Shingles of one component alone are skipped, so neither a common opening of texts
+   that differ nor a large linked group makes pairs.
 6. Links become components; a document's component is the smallest doc_id reachable.
+
+Keys that more than a thousandth of all rows share (values, pivots, shingles, classes)
+are dealt to many tasks in every join.
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, doc_texts, with_totals
+from .common import Scratch, doc_texts, hot_join, with_totals
 from .components import components
 from .suffix import runs, spans_of
 
@@ -36,8 +45,8 @@ U64 = np.uint64
 #: in fewer than 52 in about 2 of a million cases.
 COORDINATES, MATCHES = 96, 52
 SHINGLE, PERCENT = 5, 75
-#: Bytes of shingles in a block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of shingles and number of classes in a block, at most about.
+BLOCK_BYTES, BLOCK_CLASSES = 4 << 20, 512
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 
@@ -164,20 +173,23 @@ def coordinate_values(classes: DataFrame) -> DataFrame:
     return classes.select("doc", "signature").mapInArrow(rows, "value long, doc long")
 
 
-def prefix_postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
+def prefix_postings(classes: DataFrame, scratch: Scratch, matches: int = MATCHES) -> DataFrame:
     """(value, doc, shared): the shared values among each class's rarest coordinates."""
     values = coordinate_values(classes)
-    frequent = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    own = values.join(frequent, "value").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
+    frequent = scratch.save(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "frequent-values")
+    own = hot_join(values, frequent, "value", "df", "doc").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
     prefix = F.lit(COORDINATES - matches + 1) - (F.lit(COORDINATES) - F.size("own"))
     return own.where((F.size("own") >= matches) & (prefix > 0)).select("doc", F.size("own").alias("shared"), F.explode(F.slice("own", F.lit(1), prefix)).alias("x")).select(F.col("x.value").alias("value"), "doc", "shared")
 
 
-def pivot_cells(postings: DataFrame, sizes: DataFrame, block_bytes: int) -> DataFrame:
+def pivot_cells(postings: DataFrame, sizes: DataFrame, scratch: Scratch, block_bytes: int, block_classes: int) -> DataFrame:
     """(pivot, doc, block, blocks): the members of each cell, the pivot in every block."""
-    best = postings.groupBy("value").agg(F.max(F.struct("shared", (-F.col("doc")).alias("doc"))).alias("x"), F.count("*").alias("n")).where("n > 1").select("value", (-F.col("x.doc")).alias("pivot"))
-    members = postings.join(best, "value").where("doc != pivot").select("pivot", "doc").distinct().join(sizes, "doc")
-    sized = with_totals(members, "pivot", {"bytes": (F.sum, F.col("n") * 8)}, "doc").withColumn("blocks", F.ceil(F.col("bytes") / block_bytes).cast("int"))
+    best = postings.groupBy("value").agg(F.max(F.struct("shared", (-F.col("doc")).alias("doc"))).alias("x"), F.count("*").alias("n")).where("n > 1").select("value", (-F.col("x.doc")).alias("pivot"), "n")
+    met = hot_join(postings.select("value", "doc"), scratch.save(best, "pivots"), "value", "n", "doc")
+    members = met.where("doc != pivot").select("pivot", "doc").distinct().join(sizes, "doc")
+    totals = {"bytes": (F.sum, F.col("n") * 8), "classes": (F.sum, F.lit(1))}
+    blocks = F.greatest(F.ceil(F.col("bytes") / block_bytes), F.ceil(F.col("classes") / block_classes)).cast("int")
+    sized = with_totals(members, "pivot", totals, "doc").withColumn("blocks", blocks)
     dealt = sized.select("pivot", "doc", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "blocks")
     blocks = dealt.select("pivot", "blocks").distinct()
     return dealt.unionByName(blocks.select("pivot", F.col("pivot").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks"))
@@ -211,51 +223,121 @@ class Links:
         return np.flatnonzero(hit & (100 * both >= self.percent * (self.sizes + self.sizes[k] - both)))
 
 
-def block_links(sets: list[np.ndarray], groups: np.ndarray, queries: np.ndarray, matches: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Links that join sets of different groups, as many as connect them; groups changes."""
-    links = Links(sets, matches, percent)
-    for k in queries:
+def block_links(sets: list[np.ndarray], matches: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between the sets, as many as connect those that links connect."""
+    links, groups = Links(sets, matches, percent), np.arange(len(sets))
+    for k in range(len(sets)):
         for x in links.near(k, groups != groups[k]):
             if groups[x] != groups[k]:
                 groups[groups == groups[x]] = groups[k]
                 yield k, x
 
 
+def keyed_blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, its rows) of batches that are sorted by the keys."""
+    key, found = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in keys]
+        starts = runs(*columns)
+        for i, j in zip(starts.tolist(), np.r_[starts, batch.num_rows][1:].tolist(), strict=True):
+            own = tuple(int(c[i]) for c in columns)
+            if own != key and found:
+                yield key, pa.Table.from_batches(found)
+                found = []
+            key = own
+            found.append(batch.slice(i, j - i))
+    if found:
+        yield key, pa.Table.from_batches(found)
+
+
 def compared(cells: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """(u, v): links found in each block. cells: (pivot, block, doc, home, known); a
-    visitor (home false) is compared with those at home only, and known is a group."""
+    """(u, v): links found in each block of cells (pivot, block, doc)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, sets_, home, known = None, [], [], [], []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(docs) < 2:
-                return
-            order = sorted(range(len(docs)), key=lambda k: (docs[k] != key[0], docs[k]))  # the pivot first
-            own = [docs[k] for k in order]
-            groups = np.unique([known[k] for k in order], return_inverse=True)[1]
-            queries = np.array([k for k, o in enumerate(order) if not home[o]] or range(len(order)))
-            found = list(block_links([sets_[k] for k in order], groups, queries, matches, percent))
+        for (pivot, _), own in keyed_blocks(batches, ["pivot", "block"]):
+            docs = own.column("doc").to_numpy()
+            order = np.lexsort((docs, docs != pivot))  # the pivot first
+            hashes = own.column("hashes").to_pylist()
+            found = list(block_links([np.frombuffer(hashes[k], U64) for k in order], matches, percent)) if len(docs) > 1 else []
             if found:
-                yield pa.record_batch({"u": pa.array([own[a] for a, _ in found], pa.int64()), "v": pa.array([own[b] for _, b in found], pa.int64())})
+                ends = docs[order][np.array(found)]
+                yield pa.record_batch({"u": pa.array(ends[:, 0]), "v": pa.array(ends[:, 1])})
 
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("pivot", "block", "doc", "home", "known", "hashes"))
-            for pivot, block, doc, at_home, group, hashes in zip(*columns, strict=True):
-                if (pivot, block) != key:
-                    yield from flush()
-                    key, docs, sets_, home, known = (pivot, block), [], [], [], []
-                docs.append(doc)
-                sets_.append(np.frombuffer(hashes, U64))
-                home.append(at_home)
-                known.append(group)
-        if docs:
-            yield from flush()
-
-    joined = cells.join(sets, "doc").select("pivot", "block", "doc", "home", "known", "hashes")
+    joined = cells.join(sets, "doc").select("pivot", "block", "doc", "hashes")
     return joined.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "doc").mapInArrow(rows, "u long, v long")
 
 
+def mixed_members(cells: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, known) of the members of cells of several blocks that have more than one
+    component; known is a member's component so far."""
+    known = cells.where("blocks > 1").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("pivot", "doc", F.coalesce("component", "doc").alias("known"))
+    known = scratch.save(known, "large-cells")
+    mixed = known.groupBy("pivot").agg(F.count("*").alias("n"), F.min("known").alias("least"), F.max("known").alias("most")).where("least != most").select("pivot", "n")
+    return hot_join(known, scratch.save(mixed, "mixed-cells"), "pivot", "n", "doc").select("doc", "known").distinct()
+
+
+def shingle_postings(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(shingle, doc, known, size, after, main): the rarest shingles of each member, as
+    many as a link needs, where more than one component has them. after counts the
+    member's shingles that are more frequent, main is the component that has it most."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = np.frombuffer(batch.column("hashes")[k].as_py(), np.int64)
+                yield pa.record_batch({"shingle": pa.array(own), "doc": pa.array(np.full(len(own), batch.column("doc")[k].as_py())), "known": pa.array(np.full(len(own), batch.column("known")[k].as_py())), "size": pa.array(np.full(len(own), len(own), np.int32))})
+
+    every = members.join(sets, "doc").mapInArrow(rows, "shingle long, doc long, known long, size int")
+    counts = every.groupBy("shingle", "known").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.sum("n").alias("n"), F.count("*").alias("components"), F.max_by("known", F.struct("n", "known")).alias("main")).where("n > 1")
+    counts = scratch.save(counts, "shingle-counts")
+    own = hot_join(every, counts, "shingle", "n", "doc").groupBy("doc", "known", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "components", "main"))).alias("own"))
+    alone = F.col("size") - F.size("own")  # shingles that no other member has are the rarest
+    prefix = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100).cast("int") + 1 - alone
+    posted = own.where(prefix > 0).select("doc", "known", "size", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), prefix)).alias("k", "x"))
+    return posted.where("x.components > 1").select(F.col("x.shingle").alias("shingle"), "doc", "known", "size", (F.col("size") - F.col("alone") - F.col("k") - 1).alias("after"), F.col("x.main").alias("main"))
+
+
+def candidate_pairs(postings: DataFrame, percent: int, block_classes: int) -> DataFrame:
+    """(u, v): pairs of different components that share a posting and may link."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in keyed_blocks(batches, ["shingle", "block"]):
+            doc, known, size, after, home, minor = (own.column(c).to_numpy() for c in ("doc", "known", "size", "after", "home", "minor"))
+            x = {c: v[home] for c, v in (("doc", doc), ("known", known), ("size", size), ("after", after))}
+            for k in np.flatnonzero(minor):
+                both = size[k] + x["size"]
+                least = -(-percent * both // (100 + percent))  # shingles that a link shares
+                may = (x["known"] != known[k]) & (1 + np.minimum(x["after"], after[k]) >= least)
+                if may.any():
+                    yield pa.record_batch({"u": pa.array(np.minimum(x["doc"][may], doc[k])), "v": pa.array(np.maximum(x["doc"][may], doc[k]))})
+
+    sized = with_totals(postings, "shingle", {"n": (F.sum, F.lit(1))}, "doc").withColumn("blocks", F.ceil(F.col("n") / block_classes).cast("int")).withColumn("minor", F.col("known") != F.col("main"))
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    places = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    dealt = sized.withColumn("own", own).withColumn("block", F.explode(places)).select("shingle", "block", "doc", "known", "size", "after", "minor", (F.col("own") == F.col("block")).alias("home"))
+    return dealt.repartition("shingle", "block").sortWithinPartitions("shingle", "block").mapInArrow(rows, "u long, v long").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The pairs whose full sets link."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (batch.column(c).to_pylist() for c in ("one", "two"))
+            good = np.zeros(batch.num_rows, bool)
+            for k, (a, b) in enumerate(zip(one, two, strict=True)):
+                a, b = np.frombuffer(a, U64), np.frombuffer(b, U64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good[k] = 100 * both >= percent * (len(a) + len(b) - both)
+            yield batch.select(["u", "v"]).filter(pa.array(good))
+
+    pairs = scratch.save(pairs, "candidates")
+    for end, name in (("u", "one"), ("v", "two")):
+        counted = pairs.groupBy(end).agg(F.count("*").alias("n")).join(sets.select(F.col("doc").alias(end), F.col("hashes").alias(name)), end)
+        pairs = hot_join(pairs, scratch.save(counted, f"sets-{name}"), end, "n", "v" if end == "u" else "u").drop("n")
+    return pairs.select("u", "v", "one", "two").mapInArrow(rows, "u long, v long")
+
+
 def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """(doc, hashes) of the documents whose ids members holds in column doc."""
 
@@ -269,36 +351,32 @@ def sets_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     return doc_texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(rows, "doc long, hashes binary")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES, block_bytes: int = BLOCK_BYTES, block_classes: int = BLOCK_CLASSES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row.
 
     Texts without words are in no class but their own. Rows that share a doc_id are one
     node, whatever their texts. A null doc_id has no component (null) and is kept. An
     empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-duplicates")
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
     all_signed = scratch.save(signed(docs, size), "signed")
     ids = scratch.save(all_signed.drop("signature"), "ids")
     classes = scratch.save(all_signed.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "signed-classes")
     scratch.drop("signed")
-    postings = scratch.save(prefix_postings(classes, matches), "postings")
+    postings = scratch.save(prefix_postings(classes, scratch, matches), "postings")
     classes = scratch.save(classes.drop("signature"), "classes")
-    scratch.drop("signed-classes")
-    cells = scratch.save(pivot_cells(postings, classes.groupBy("doc").agg(F.max("n").alias("n")), block_bytes), "cells")
+    scratch.drop("signed-classes", "frequent-values")
+    cells = scratch.save(pivot_cells(postings, classes.groupBy("doc").agg(F.max("n").alias("n")), scratch, block_bytes, block_classes), "cells")
+    scratch.drop("postings", "pivots")
     sets = scratch.save(sets_of(docs, cells, size), "sets")
-    links = scratch.save(compared(cells.select("pivot", "block", "doc", F.lit(True).alias("home"), F.col("doc").alias("known")), sets, matches, percent), "links")
+    links = scratch.save(compared(cells, sets, matches, percent), "links")
     joined = components(links, scratch, "round")
-    large = cells.where("blocks > 1")
-    if not large.isEmpty():
-        known = large.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("known", F.coalesce("component", "doc"))
-        main = known.groupBy("pivot", "known").count().groupBy("pivot").agg(F.max_by("known", F.struct("count", "known")).alias("main"))
-        visitors = known.join(main, "pivot").where("known != main").select("pivot", "doc", "known", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("visit"), "block").where("visit != block")
-        at_home = known.join(main.join(visitors.select("pivot").distinct(), "pivot", "left_semi"), "pivot", "left_semi").select("pivot", "block", "doc", F.lit(True).alias("home"), "known")
-        both = at_home.unionByName(visitors.select("pivot", F.col("visit").alias("block"), "doc", F.lit(False).alias("home"), "known"))
-        more = scratch.save(compared(both, sets, matches, percent), "more-links")
+    members = scratch.save(mixed_members(cells, joined, scratch), "members")
+    if not members.isEmpty():
+        postings = scratch.save(shingle_postings(members, sets, scratch, percent), "shingle-postings")
+        more = scratch.save(confirmed(candidate_pairs(postings, percent, block_classes), sets, scratch, percent), "more-links")
         joined = components(links.unionByName(more), scratch, "last-round")
-    scratch.drop("postings", "cells", "sets")
+    scratch.drop("cells", "sets", "large-cells", "mixed-cells", "members", "shingle-counts", "shingle-postings", "candidates", "sets-one", "sets-two")
     with_set = ids.where("n_shingles > 0 and doc_id is not null")
     of_class = classes.select("h1", "h2", "doc").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("h1", "h2", F.coalesce("component", "doc").alias("component_id"))
     told = with_set.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")

@@ -262,10 +262,12 @@ def named_segments(docs: DataFrame, min_bytes: int, parts: int, hot: np.ndarray)
             flags = np.full(len(order), KNOWN)
             flags[first] = np.where(np.diff(np.r_[first, len(order)]) > 1, MANY, 0)
             frequent = np.isin(found["core"], hot)
-            part = (np.where(frequent, found["full"], found["core"]) % U64(parts)).astype(np.int32)
-            doc = np.array(ids, np.int64)[found["text"]]
-            crc = np.array([zlib.crc32(x) for x in texts], np.int64)[found["text"]]
-            known = flags == KNOWN
+            doc = np.array(ids, np.int64)
+            crc = np.array([zlib.crc32(x) for x in texts], np.int64)
+            known, own = flags == KNOWN, parts_of(doc, crc, parts)[found["text"]]  # known ones go home
+            away = (np.where(frequent, found["full"], found["core"]) % U64(parts)).astype(np.int64)
+            part = np.where(known, own, away).astype(np.int32)
+            doc, crc = doc[found["text"]], crc[found["text"]]
             names = {c: pa.array(np.where(known, U64(0), found[c]).view(np.int64)) for c in ("core", "full")}
             place = found["pos"].astype(np.int64) << 16 | found["ln"].astype(np.int64)
             yield pa.record_batch({"part": pa.array(part), **names, "doc": pa.array(doc), "place": pa.array(place), "mark": pa.array(crc << 8 | flags | np.where(frequent, FREQUENT, 0))})
@@ -491,7 +493,8 @@ def find_repeats(docs: DataFrame, min_bytes: int = 400, whole_characters: bool =
             flags[first] = np.where(np.diff(np.r_[first, len(order)]) > 1, MANY, 0)
             sent = (flags != KNOWN) | asking[order]
             order, flags = order[sent], flags[sent] | np.where(asking[order][sent], ASKING, 0)
-            return pa.record_batch({"part": pa.array((a[order] % U64(parts)).astype(np.int32)), "a": pa.array(a[order].view(np.int64)), "b": pa.array(b[order].astype(np.int64)), "place": pa.array(place[order]), "flags": pa.array(flags.astype(np.int32))})
+            part = np.where(flags & KNOWN, place[order] >> 32, (a[order] % U64(parts)).astype(np.int64)).astype(np.int32)  # known ones go home
+            return pa.record_batch({"part": pa.array(part), "a": pa.array(a[order].view(np.int64)), "b": pa.array(b[order].astype(np.int64)), "place": pa.array(place[order]), "flags": pa.array(flags.astype(np.int32))})
 
         for part, _, _, text, _, asked in undecided(batches):
             at = at if part == last else 0

@@ -341,8 +341,8 @@ def brute_near(rows):
     return {i: (len(sets[i]), least[i], least[i] == i) for i in sets}
 
 
-@pytest.mark.parametrize("block_bytes", [minhash.BLOCK_BYTES, 4000])
-def test_near_duplicates_match_brute_force(docs, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "block_classes"), [(minhash.BLOCK_BYTES, 512), (4000, 512), (minhash.BLOCK_BYTES, 3)])
+def test_near_duplicates_match_brute_force(docs, block_bytes, block_classes):
     rnd = random.Random(9)
     word = lambda: rnd.choice("abcdefgh") + str(rnd.randrange(300))
     bases = [[word() for _ in range(rnd.randint(30, 120))] for _ in range(6)]
@@ -353,7 +353,7 @@ def test_near_duplicates_match_brute_force(docs, block_bytes):
             base[rnd.randrange(len(base))] = word()
         rows.append((100 + k, " ".join(base) if k % 7 else " ".join(base).upper()))
     rows += [(500 + k, " ".join(word() for _ in range(40))) for k in range(60)] + [(600, "A b c d e"), (601, "a b c d e"), (602, "a b c d f"), (603, "tiny one"), (604, "TINY  one")]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(rows), block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(rows), block_bytes=block_bytes, block_classes=block_classes).collect()}
     assert got == brute_near(rows)
 
 
