@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,21 +45,17 @@ def first_appearance(df: DataFrame, key: list[str], out_no: str) -> DataFrame:
     return df.withColumn("target", F.min(out_no).over(Window.partitionBy(*key)))
 
 
-def renumbered(df: DataFrame, order: str, name: str = "new_no") -> DataFrame:
-    """Add dense numbers from 1 in order, without one task that sees all rows.
+def renumbered(df: DataFrame, order: str, name: str = "new_no", parts: int | None = None) -> DataFrame:
+    """Add dense numbers from 1 in order (nulls first), without one task that sees all rows.
 
-    Rows are range-partitioned and sorted, partitions are counted, and each adds the
-    counts before it. order must be unique. The partition of a row is kept as a column,
-    so counting and numbering read the same assignment.
+    Rows are range-partitioned once and saved with the number of their partition, so what
+    is counted and what is numbered are the same. Partitions are counted, one row each,
+    and each adds the counts before it. order must be unique, of any type that sorts.
     """
     spark = df.sparkSession
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4096))
-    bounds = df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.001) if parts > 1 and not df.isEmpty() else []
-    part = F.lit(0)
-    for b in sorted(set(bounds)):
-        part = part + F.when(F.col(order) >= b, 1).otherwise(0)
-    dealt = df.withColumn("part_", part)
-    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = Scratch(spark, "renumbered").save(df.repartitionByRange(parts, order).withColumn("part_", F.spark_partition_id()), "dealt")
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = dealt.groupBy("part_").count().select("part_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start_"))
     inner = Window.partitionBy("part_").orderBy(order)
     return dealt.withColumn("nth_", F.row_number().over(inner)).join(F.broadcast(starts), "part_").withColumn(name, (F.col("start_") + F.col("nth_")).cast("long")).drop("part_", "start_", "nth_")
