@@ -2,11 +2,15 @@
 
 A node that should become k shards is cut along the metadata dimension in which it is
 widest, at the weighted median that leaves floor(k / 2) shards' bytes on the left, until
-every leaf is one shard. Medians are exact and distributed: a job sums bytes in BINS bins
-of every open node, the bin that holds the median is binned again, and so on; the driver
-sees bins, never rows. Rows with one coordinate are told apart by their text's hash, so
-equal texts stay together; a group of equal texts is cut (by doc_id) only where it
-weighs more than ``tolerance`` of a shard, as one group may hold a third of all rows.
+every leaf is one shard. Dimensions are the text's size and ranks of whole values.
+Medians are exact and distributed: a job sums bytes in BINS bins of every open node, the
+bin that holds the median is binned again, and so on; the driver sees bins, never rows.
+
+A unit is a group of equal texts, and no unit is cut; only a group heavier than a shard
+(one may hold a third of all rows) is dealt into units of a twentieth of a shard. Of the
+units with the coordinate that a cut falls on, the tree may choose freely, so the LARGE
+heaviest ones, whose ids the driver holds, go left as they fit, largest first, and a cut
+in the others' hashes takes up the rest.
 
 Texts are read once. Jobs run over a small table of metadata in the shared scratch
 folder. Slots are numbered in blocks, so no task needs a whole shard.
@@ -15,7 +19,7 @@ folder. Slots are numbered in blocks, so no task needs a whole shard.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,40 +27,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, with_totals
+from ..operators.order import renumbered
+from .common import Scratch, hot_join, with_totals
 from .suffix import runs
 
 BINS = 1024
-#: A cut may miss its median by this share of a shard's bytes.
-TOLERANCE = 0.002
+#: A cut between values may miss its median by this share of a shard's bytes, and units
+#: above it are placed one by one, the heaviest so many at most.
+TOLERANCE, LARGE = 0.002, 50_000
+#: Units of a group that is heavier than a shard, for each shard it could fill.
+SPLIT = 20
 #: Rows of a shard that one task numbers.
 BLOCK_ROWS = 20_000
+TOP = (1 << 63) - 1
 
 
 @dataclass
 class Node:
-    """Part of the tree; first is its first shard."""
+    """Part of the tree; first is its first shard, large its units that are placed one
+    by one."""
 
     first: int
     leaves: int
-    cut: tuple | None = None  # (dimension, value, text hash, id hash): what is below goes left
+    large: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    cut: tuple[str, int, int] | None = None  # (dimension, value, text hash): what is below goes left
     left: Node | None = None
     right: Node | None = None
 
 
-def _ordinal(c: Column, kind: T.DataType) -> Column:
-    """A long that keeps the order of the column's values (strings: of 7 bytes)."""
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        head = F.rpad(F.hex(F.substring(F.coalesce(c.cast("binary"), F.lit(b"")), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("long")
-    return F.coalesce(F.floor(c.cast("double")).cast("long"), F.lit(0))
-
-
 def _hash(*c: Column) -> Column:
     """63 bits, not negative."""
     return F.shiftrightunsigned(F.xxhash64(*c), 1)
 
 
+def _bare(node: Node | None) -> Node | None:
+    """The tree without its large units, as tasks need it."""
+    return node and Node(node.first, node.leaves, cut=node.cut, left=_bare(node.left), right=_bare(node.right))
+
+
 def _leaves(node: Node) -> list[Node]:
     return [node] if node.cut is None else _leaves(node.left) + _leaves(node.right)
 
@@ -67,33 +75,35 @@ def _walk(node: Node, columns: dict[str, np.ndarray], rows: np.ndarray) -> Itera
         if len(rows):
             yield node, rows
         return
-    dim, value, text, row = node.cut
-    d, th, rh = (columns[c][rows] for c in (dim, "th", "rh"))
-    below = (d < value) | ((d == value) & ((th < text) | ((th == text) & (rh < row))))
+    dim, value, text = node.cut
+    d = columns[dim][rows]
+    below = (d < value) | ((d == value) & (columns["th"][rows] < text))
     yield from _walk(node.left, columns, rows[below])
     yield from _walk(node.right, columns, rows[~below])
 
 
-def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in ("doc_id", "text_crc32")}
+def _columns(batch: pa.RecordBatch, names: list[str]) -> dict[str, np.ndarray]:
+    return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
 
 
 @dataclass
 class _Search:
-    """The search for one node's median: the range that holds it, and bytes before that."""
+    """The search for one node's cut: the range that holds it, and bytes before that."""
 
-    keys: list[str]
+    node: Node | None
+    dim: str
     goal: float
     lo: int
     hi: int
-    fixed: list[int]
+    value: int | None = None  # once it's known, the search goes on in the hashes
+    own: np.ndarray | None = None  # then: the large units that go left
     before: int = 0
 
     def bins(self, columns: dict[str, np.ndarray], rows: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(bin, bytes, least value, greatest value) of those of the rows in the range."""
-        for c, x in zip(self.keys, self.fixed, strict=False):
-            rows = rows[columns[c][rows] == x]
-        v = columns[self.key][rows]
+        if self.value is not None:
+            rows = rows[columns[self.dim][rows] == self.value]
+        v = columns[self.dim if self.value is None else "th"][rows]
         inside = (v >= self.lo) & (v <= self.hi)
         rows, v = rows[inside], v[inside]
         if not len(v):
@@ -106,127 +116,197 @@ class _Search:
         for i, j, w in zip(starts, np.r_[starts, len(at)][1:], np.add.reduceat(size, starts), strict=True):
             yield int(at[i]), int(w), int(v[i]), int(v[j - 1])
 
-    @property
-    def key(self) -> str:
-        return self.keys[len(self.fixed)]
-
-    def cut(self, value: int) -> tuple:
-        value = min(value, (1 << 63) - 1)
-        return (self.keys[0], *self.fixed, value, *[0] * (2 - len(self.fixed)))
-
-    def narrow(self, bins: list, slack: float) -> tuple | None:
-        """The cut, once it's known; else the next range."""
-        for b in bins[:-1]:
-            if self.before + b["w"] >= self.goal:
+    def narrow(self, bins: list[tuple[int, int, int, int]], slack: float) -> tuple[int, float] | None:
+        """(value, 0) of a cut below a value, or (value, left) if it falls into one, of
+        which that many bytes go left; else None and the next range. A unit isn't cut:
+        in the hashes the cut is at its nearer end."""
+        for k, (_, w, lo, hi) in enumerate(bins, 1):
+            if self.before + w >= self.goal or k == len(bins):
                 break
-            self.before += b["w"]
-        else:
-            b = bins[-1]
-        over, under = self.before + b["w"] - self.goal, self.goal - self.before
-        if min(over, under) <= slack:
-            return self.cut(b["hi"] + 1 if over < under else b["lo"])
-        self.lo, self.hi = b["lo"], b["hi"]
-        if self.lo == self.hi:
-            if len(self.fixed) == 2:
-                return self.cut(self.lo + 1)
-            self.fixed, self.lo, self.hi = [*self.fixed, self.lo], 0, (1 << 63) - 1
+            self.before += w
+        over, under = self.before + w - self.goal, self.goal - self.before
+        if min(over, under) <= slack or (lo == hi and self.value is not None):
+            return (hi + 1 if over < under else lo), 0.0
+        if lo == hi:
+            return lo, under
+        self.lo, self.hi = lo, hi
         return None
 
 
-def _cut_all(rows: DataFrame, root: Node, searches: dict[int, _Search], slack: float) -> dict[int, tuple]:
-    """The cut of each node; searches has them by first shard."""
-    cuts = {}
-    while searches:
-        asked = searches
+def _binned(rows: DataFrame, root: Node, searches: dict[int, _Search], large: dict[str, np.ndarray], names: list[str]) -> dict[int, list[tuple[int, int, int, int]]]:
+    """The bins of each search, by first shard; large units count for values only."""
+    tree, asked = _bare(root), {k: replace(s, node=None, own=None) for k, s in searches.items()}
 
-        def found(batches: Iterator[pa.RecordBatch], asked: dict[int, _Search] = asked) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                columns = _columns(batch)
-                told = [(n.first, *b) for n, own in _walk(root, columns, np.arange(batch.num_rows)) if n.first in asked for b in asked[n.first].bins(columns, own)]
-                yield pa.record_batch([pa.array([t[k] for t in told], pa.int64()) for k in range(5)], names=["node", "bin", "w", "lo", "hi"])
-
-        parts = rows.mapInArrow(found, "node long, bin long, w long, lo long, hi long")
-        told = parts.groupBy("node", "bin").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
-        done = {k: s.narrow(sorted((b for b in told if b["node"] == k), key=lambda b: b["bin"]), slack) for k, s in searches.items()}
-        cuts |= {k: c for k, c in done.items() if c}
-        searches = {k: s for k, s in searches.items() if not done[k]}
-    return cuts
-
-
-def kd_tree(rows: DataFrame, dims: list[str], n_shards: int, tolerance: float = TOLERANCE) -> Node:
-    """The tree over rows (size, th, rh and dims, all long)."""
-    root = Node(0, n_shards)
-    names = [f"{n}_{d}" for d in dims for n in ("lo", "hi")]
-    schema = "node long, total long, " + ", ".join(f"{n} long" for n in names)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = _columns(batch, names)
+            told = [(n.first, *b) for n, own in _walk(tree, columns, np.arange(batch.num_rows)) if n.first in asked for b in asked[n.first].bins(columns, own)]
+            yield pa.record_batch([pa.array([t[k] for t in told], pa.int64()) for k in range(5)], names=["node", "bin", "w", "lo", "hi"])
+
+    parts = rows.mapInArrow(found, "node long, bin long, w long, lo long, hi long")
+    told = [tuple(r) for r in parts.groupBy("node", "bin").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()]
+    told += [(first, *b) for first, s in searches.items() if s.value is None for b in s.bins(large, s.node.large)]
+    out: dict[int, dict] = {first: {} for first in searches}
+    for first, at, w, lo, hi in told:
+        _, w0, lo0, hi0 = out[first].get(at, (at, 0, lo, hi))
+        out[first][at] = (at, w0 + w, min(lo, lo0), max(hi, hi0))
+    return {first: [b[k] for k in sorted(b)] for first, b in out.items()}
+
+
+def fitting(sizes: np.ndarray, room: float, rest: float) -> np.ndarray:
+    """A mask of the units that go left: the largest first, as they fit into the room;
+    if the rest can't fill what stays, the one that comes nearest to it as well."""
+    left = np.zeros(len(sizes), bool)
+    for k in np.argsort(-sizes, kind="stable"):
+        if sizes[k] <= room:
+            left[k], room = True, room - sizes[k]
+    short = room - rest
+    if short > 0 and not left.all():
+        k = np.flatnonzero(~left)[np.argmin(abs(sizes[~left] - short))]
+        left[k] = abs(sizes[k] - short) < short
+    return left
+
+
+def _divide(node: Node, dim: str, value: int, text: int, own: np.ndarray) -> None:
+    """Cut a node; own are its large units that go left."""
+    half = node.leaves // 2
+    node.cut = (dim, value, text)
+    node.left, node.right = Node(node.first, half, own), Node(node.first + half, node.leaves - half, np.setdiff1d(node.large, own))
+
+
+def kd_tree(rows: DataFrame, dims: list[str], n_shards: int, large: dict[str, np.ndarray], tolerance: float = TOLERANCE) -> Node:
+    """The tree over rows (size, th and dims, all long) and the large units (arrays of
+    the same names, size being the whole unit's), which rows doesn't have."""
+    root = Node(0, n_shards, np.arange(len(large["th"])))
+    names, ends = ["size", "th", *dims], [f"{n}_{d}" for d in dims for n in ("lo", "hi")]
+    schema = "node long, total long, " + ", ".join(f"{n} long" for n in ends)
     spread, slack = {}, 0.0
     while True:
 
-        def found(batches: Iterator[pa.RecordBatch], root: Node = root) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                columns = _columns(batch)
-                told = [(n.first, columns["size"][own].sum(), *(f(columns[d][own]) for d in dims for f in (np.min, np.max))) for n, own in _walk(root, columns, np.arange(batch.num_rows))]
-                yield pa.record_batch([pa.array([int(t[k]) for t in told], pa.int64()) for k in range(2 + len(names))], names=["node", "total", *names])
+        def stats(columns: dict[str, np.ndarray], own: np.ndarray) -> list[int]:
+            return [int(x) for x in (columns["size"][own].sum(), *(f(columns[d][own]) for d in dims for f in (np.min, np.max)))]
 
-        every = [F.sum("total").alias("total"), *[(F.min if n.startswith("lo") else F.max)(n).alias(n) for n in names]]
-        told = {r["node"]: r for r in rows.mapInArrow(found, schema).groupBy("node").agg(*every).collect()}
+        def found(batches: Iterator[pa.RecordBatch], root: Node = _bare(root)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = _columns(batch, names)
+                told = [(n.first, *stats(columns, own)) for n, own in _walk(root, columns, np.arange(batch.num_rows))]
+                yield pa.record_batch([pa.array([t[k] for t in told], pa.int64()) for k in range(2 + len(ends))], names=["node", "total", *ends])
+
+        every = [F.sum("total").alias("total"), *[(F.min if n.startswith("lo") else F.max)(n).alias(n) for n in ends]]
+        told = [tuple(r) for r in rows.mapInArrow(found, schema).groupBy("node").agg(*every).collect()]
+        told += [(n.first, *stats(large, n.large)) for n in _leaves(root) if len(n.large)]
+        known: dict[int, list[int]] = {}
+        for first, *x in told:
+            y = known.setdefault(first, [0, *x[1:]])
+            known[first] = [y[0] + x[0], *(f(a, b) for f, a, b in zip([min, max] * len(dims), y[1:], x[1:], strict=True))]
         if not spread:
-            if not told:
+            if not known:
                 return root
-            spread = {d: max(1, told[0][f"hi_{d}"] - told[0][f"lo_{d}"]) for d in dims}
-            slack = tolerance * told[0]["total"] / n_shards
+            spread = {d: max(1, known[0][2 + 2 * k] - known[0][1 + 2 * k]) for k, d in enumerate(dims)}
+            slack = tolerance * known[0][0] / n_shards
         searches = {}
         for node in _leaves(root):
-            if node.leaves > 1 and node.first in told:
-                r = told[node.first]
-                widest = max(dims, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / spread[d])
-                searches[node.first] = _Search([widest, "th", "rh"], r["total"] * (node.leaves // 2) / node.leaves, r[f"lo_{widest}"], r[f"hi_{widest}"], [])
+            if node.leaves > 1 and node.first in known:
+                total, *bounds = known[node.first]
+                k = max(range(len(dims)), key=lambda k: (bounds[2 * k + 1] - bounds[2 * k]) / spread[dims[k]])
+                searches[node.first] = _Search(node, dims[k], total * (node.leaves // 2) / node.leaves, bounds[2 * k], bounds[2 * k + 1])
         if not searches:
             return root
-        cuts = _cut_all(rows, root, searches, slack)
-        for node in _leaves(root):
-            if node.first in cuts:
-                half = node.leaves // 2
-                node.cut, node.left, node.right = cuts[node.first], Node(node.first, half), Node(node.first + half, node.leaves - half)
-
-
-def placed_rows(rows: DataFrame, root: Node) -> DataFrame:
+        while searches:
+            bins = _binned(rows, root, searches, large, names)
+            again = {}
+            for first, s in searches.items():
+                cut = s.narrow(bins[first], slack)
+                if cut is None:
+                    again[first] = s
+                    continue
+                node, (at, left) = s.node, cut
+                if s.value is not None:
+                    _divide(node, s.dim, s.value, at, s.own)
+                    continue
+                values = large[s.dim][node.large]
+                below = node.large[values < at]
+                if not left:
+                    _divide(node, s.dim, at, 0, below)
+                    continue
+                tied = node.large[values == at]
+                rest = next(w for _, w, lo, hi in bins[first] if lo == hi == at) - int(large["size"][tied].sum())
+                chosen = tied[fitting(large["size"][tied], left, rest)]
+                own, room = np.r_[below, chosen], left - int(large["size"][chosen].sum())
+                if room <= 0 or room >= rest:
+                    _divide(node, s.dim, at, 0 if room <= 0 else TOP, own)
+                else:
+                    again[first] = _Search(node, s.dim, room, 0, TOP, at, own)
+            searches = again
+
+
+def placed_rows(rows: DataFrame, root: Node, large: dict[str, np.ndarray], names: list[str]) -> DataFrame:
     """rows with the shard that the tree puts them into."""
+    shards = np.zeros(len(large["th"]), np.int32)
+    for leaf in _leaves(root):
+        shards[leaf.large] = leaf.first
+    order = np.argsort(large["th"])
+    known, shards, tree = large["th"][order], shards[order], _bare(root)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard = np.zeros(batch.num_rows, np.int32)
-            for node, own in _walk(root, _columns(batch), np.arange(batch.num_rows)):
+            columns, shard = _columns(batch, names), np.zeros(batch.num_rows, np.int32)
+            for node, own in _walk(tree, columns, np.arange(batch.num_rows)):
                 shard[own] = node.first
+            if len(known):
+                at = np.minimum(np.searchsorted(known, columns["th"]), len(known) - 1)
+                shard = np.where(known[at] == columns["th"], shards[at], shard).astype(np.int32)
             yield batch.append_column("shard", pa.array(shard))
 
     return rows.mapInArrow(found, T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType())]))
 
 
-def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, dims: tuple[str, ...] = ("lang", "source"), tolerance: float = TOLERANCE) -> DataFrame:
+def ranked(rows: DataFrame, values: DataFrame, scratch: Scratch, key: str) -> DataFrame:
+    """rows with column key, a hash of a value, replaced by the value's rank; values has
+    the distinct values v."""
+    counted = values.groupBy("v").agg(F.count("*").alias("n")).withColumn(key, F.xxhash64(F.col("v").isNull(), "v"))
+    counted = scratch.save(renumbered(counted, "v", "rank").select(key, "n", "rank"), f"values-{key}")
+    return hot_join(rows, counted, key, "n", "rh").drop(key, "n").withColumnRenamed("rank", key)
+
+
+def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, dims: tuple[str, ...] = ("lang", "source"), tolerance: float = TOLERANCE, large_units: int = LARGE) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, ...) for each row.
 
     size is the text's UTF-8 bytes plus 16. Give n_shards, or target_bytes for as many
-    shards as that takes. dims are columns of docs, besides the size; missing ones are
-    left out, nulls come first, and equal texts have the least of their rows' values, so
-    they stay together until a cut falls into their group. A null text has no bytes. Repeated rows (doc_id and
-    text) can't be told apart and stay together. An empty table gives no rows.
+    shards as that takes. dims are columns of docs, besides the size, of any type that
+    sorts; missing ones are left out, nulls come first, and equal texts have the least of
+    their rows' values. Equal texts share a shard unless they weigh more than one. A null
+    text has no bytes. A row heavier than a shard fills one alone, so others stay smaller
+    or empty. Repeated rows are rows like others. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    dims = tuple(d for d in dims if d in docs.columns)
-    named = {f"dim_{k}": _ordinal(F.col(f"`{d}`"), docs.schema[d].dataType) for k, d in enumerate(dims)}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), _hash(text).alias("th"), _hash(F.col("doc_id").cast("long")).alias("rh"), *[c.alias(n) for n, c in named.items()])
+    named = {f"dim_{k}": F.col(f"`{d}`") for k, d in enumerate(d for d in dims if d in docs.columns)}
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), (F.length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), _hash(text).alias("th"), _hash(doc_id, F.monotonically_increasing_id()).alias("rh"), *[F.xxhash64(c.isNull(), c).alias(n) for n, c in named.items()])
     rows = scratch.save(rows, "own-rows")
-    if named:  # equal texts get equal coordinates, the least of theirs
-        own = [F.col(n).alias(f"own_{n}") for n in named]
-        shared = with_totals(rows.select(*[c for c in rows.columns if c not in named], *own), "th", {n: (F.min, F.col(f"own_{n}")) for n in named}, "rh")
-        rows = scratch.save(shared.drop(*[f"own_{n}" for n in named]), "rows")
+    total = rows.agg(F.sum("size")).first()[0] or 0
     if n_shards is None:
-        total = rows.agg(F.sum("size")).first()[0] or 0
         n_shards = max(1, round(total / target_bytes))
-    tree = kd_tree(rows, ["size", *named], n_shards, tolerance)
-    placed = scratch.save(placed_rows(rows, tree).select("doc_id", "size", "text_crc32", "rh", "th", "shard"), "placed")
+    for n, c in named.items():
+        rows = ranked(rows, docs.select(c.alias("v")), scratch, n)
+    # equal texts get equal coordinates, the least of theirs, and the group's weight
+    own = [F.col(n).alias(f"own_{n}") for n in named]
+    shared = with_totals(rows.select(*[c for c in rows.columns if c not in named], *own), "th", {"group_bytes": (F.sum, F.col("size")), **{n: (F.min, F.col(f"own_{n}")) for n in named}}, "rh")
+    units = F.ceil(F.lit(SPLIT * n_shards) * F.col("group_bytes") / F.lit(max(1, total)))
+    split = F.when(F.col("group_bytes") * n_shards > F.lit(total), _hash("th", F.pmod("rh", units))).otherwise(F.col("th"))
+    rows = scratch.save(shared.withColumn("th", split).withColumn("dim_size", F.col("size")).drop("group_bytes", *[f"own_{n}" for n in named]), "rows")
+    dims = ["dim_size", *named]
+    least = tolerance * total / n_shards
+    weights = rows.groupBy("th").agg(F.sum("size").alias("size"), *[F.min(n).alias(n) for n in dims]).where(F.col("size") > least)
+    heavy = weights.orderBy(F.col("size").desc(), "th").limit(large_units).collect()
+    large = {c: np.array([r[c] for r in heavy], np.int64) for c in ("th", "size", *dims)}
+    is_large = spark.createDataFrame([(int(h), True) for h in large["th"]], "th long, large boolean")
+    small = scratch.save(rows.join(F.broadcast(is_large), "th", "left_anti").select("size", "th", *dims), "small-rows")
+    tree = kd_tree(small, dims, n_shards, large, tolerance)
+    placed = scratch.save(placed_rows(rows, tree, large, ["size", "th", *dims]).select("doc_id", "size", "text_crc32", "rh", "th", "shard"), "placed")
+    scratch.drop("own-rows", "rows", "small-rows", *[f"values-{n}" for n in named])
     return slots(placed).drop("rh", "th")
 
 

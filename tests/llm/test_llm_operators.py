@@ -308,31 +308,95 @@ def test_snapshots_collapse(spark):
 # 6 sharding
 
 
+def shards_of(got):
+    size, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return size
+
+
 def test_shards_are_even(spark, docs):
     rnd = random.Random(8)
     rows = [(i, "x" * rnd.randint(0, 400)) for i in range(3000)] + [(i, "hot " * 20) for i in range(3000, 4500)] + ODD[:5] + ODD[6:]
     got = sharding.kd_shards(docs(rows), n_shards=13).collect()
-    assert len(got) == len(rows) and {r["shard"] for r in got} == set(range(13))
-    size = collections.Counter()
-    slots = collections.defaultdict(list)
-    for r in got:
-        size[r["shard"]] += r["size"]
-        slots[r["shard"]].append(r["slot"])
+    size = shards_of(got)
     mean = sum(size.values()) / 13
-    assert all(abs(s - mean) < 0.02 * mean for s in size.values())
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len(got) == len(rows) and set(size) == set(range(13)) and max(abs(s - mean) for s in size.values()) < 0.05 * mean
     want = collections.Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
     assert sharding.kd_shards(docs([]), n_shards=4).count() == 0
     assert len({r["shard"] for r in sharding.kd_shards(docs(rows[:500]), target_bytes=20_000).collect()}) > 2
 
 
-def test_equal_texts_stay_together(docs):
-    rows = [(i, f"text {i // 3} " * 5) for i in range(900)]
+def test_rows_heavier_than_a_shard(docs):
+    size = shards_of(sharding.kd_shards(docs(ODD), n_shards=4).collect())  # one text of 200 KB
+    assert max(size.values()) == 200_016 and sum(size.values()) == sum(len((t or "").encode()) + 16 for _, t in ODD)
+    assert 1 < len(size) <= 4
+    same = shards_of(sharding.kd_shards(docs([(5, "one text " * 9)] * 700 + [(6, "two")]), n_shards=5).collect())  # repeated rows
+    mean = sum(same.values()) / 5
+    assert len(same) == 5 and all(abs(s - mean) < 0.25 * mean for s in same.values())
+
+
+def test_equal_texts_stay_together(spark, docs):
+    rnd = random.Random(17)
+    rows = [(i, f"text {rnd.randrange(300)} " * 5) for i in range(900)]
+    table = docs(rows).drop("lang").withColumn("lang", F.concat(F.lit("seven bytes alike "), (F.col("doc_id") % 3).cast("string")))
     shards = collections.defaultdict(set)
-    for r in sharding.kd_shards(docs(rows), n_shards=6).collect():
+    got = sharding.kd_shards(table, n_shards=6).collect()
+    for r in got:
         shards[r["text_crc32"]].add(r["shard"])
-    assert sum(len(s) > 1 for s in shards.values()) <= 5  # one group for each cut at most
+    assert all(len(s) == 1 for s in shards.values())
+    mean = sum(shards_of(got).values()) / 6
+    assert all(abs(s - mean) < 0.05 * mean for s in shards_of(got).values())
+
+
+def plain_tree(units, n, first, dims, spread):
+    """Shards by a k-d tree over units (size, hash, coordinates), in plain Python."""
+    if n == 1 or not units:
+        return {h: first for _, h, _ in units}
+    reach = [max(u[2][k] for u in units) - min(u[2][k] for u in units) for k in range(dims)]
+    k = max(range(dims), key=lambda k: reach[k] / spread[k])
+    goal, half = sum(u[0] for u in units) * (n // 2) / n, n // 2
+    values = sorted({u[2][k] for u in units})
+    before = 0
+    for at in values:
+        tied = sorted((h, s) for s, h, c in units if c[k] == at)
+        if before + sum(s for _, s in tied) >= goal:
+            break
+        before += sum(s for _, s in tied)
+    over = before + sum(s for _, s in tied) - goal
+    left = {h for _, h, c in units if c[k] < at}
+    if over == 0:
+        left |= {h for h, _ in tied}
+    elif before < goal:
+        for h, s in tied:
+            if before + s >= goal:
+                left |= {h} if before + s - goal < goal - before else set()
+                break
+            left.add(h)
+            before += s
+    out = plain_tree([u for u in units if u[1] in left], half, first, dims, spread)
+    return out | plain_tree([u for u in units if u[1] not in left], n - half, first + half, dims, spread)
+
+
+def test_shards_match_a_plain_tree(spark, docs):
+    rnd = random.Random(19)
+    rows = [(i, "".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 90)))) for i in range(400)]
+    table = docs(rows).drop("lang", "source").withColumn("lang", F.element_at(F.array(*map(F.lit, ["de", "en", None, "fr"])), (F.col("doc_id") % 4 + 1).cast("int"))).withColumn("source", (F.col("doc_id") % 7).cast("double") / 2)
+    got = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(table, n_shards=11, tolerance=0.0, large_units=0).collect()}
+    th = {r[0]: r[1] for r in table.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.encode("text", "UTF-8")), 1)).collect()}
+    lang, groups = {None: 1, "de": 2, "en": 3, "fr": 4}, {}
+    for r in table.collect():
+        c = (lang[r["lang"]], int(r["source"] * 2) + 1)
+        size = len(r["text"]) + 16
+        s, _, old = groups.get(th[r["doc_id"]], (0, 0, (size, 99, 99)))
+        groups[th[r["doc_id"]]] = (s + size, th[r["doc_id"]], (size, min(old[1], c[0]), min(old[2], c[1])))
+    units = list(groups.values())
+    spread = [max(u[2][k] for u in units) - min(u[2][k] for u in units) for k in range(3)]
+    want = plain_tree(units, 11, 0, 3, spread)
+    assert got == {i: want[h] for i, h in th.items()}
 
 
 # 7 near duplicates
