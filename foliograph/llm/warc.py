@@ -6,14 +6,18 @@ equivalent WARC records: ids from what they hold, ISO timestamps from 14 digits,
 SHA-256 digests. Of records with equal payloads the one with the smallest page id is the
 response and the others revisit it.
 
-Archives are written by Spark's text writer, whose line separator is the two line ends
-that close a WARC record; it commits task by task in the shared folder, so a lost
-executor leaves no half archive. Payloads are shuffled once, by page id, never by
-digest; equal payloads meet as counted digests only.
+Each WARC record is a gzip member. Members are gathered to pieces of bounded bytes, and
+files hold a bounded number of pieces, so files are bounded in bytes whatever the pages'
+sizes (a page larger than a piece is one). Spark's text writer writes pieces as they are;
+its line separator is an empty gzip member, so a file is a sequence of members. It
+commits task by task in the shared folder, so a lost executor leaves no half archive.
+Files are read member by member. Payloads are shuffled once, by page id, never by digest;
+equal payloads meet as counted digests only.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -27,8 +31,10 @@ from pyspark.sql import functions as F
 CRLF = b"\r\n"
 #: Payloads below this size are never revisits.
 LEAST_BYTES = 100
-#: Bytes of a segment of ARC records, records in a WARC file.
-SEGMENT_BYTES, FILE_RECORDS = 4 << 20, 5_000
+#: Bytes of a segment of ARC records and of a piece of a WARC file, pieces of a file.
+SEGMENT_BYTES, PIECE_BYTES, FILE_PIECES = 4 << 20, 4 << 20, 16
+#: A gzip member of no bytes.
+EMPTY = gzip.compress(b"", mtime=0)
 #: The fields of a record's header line, by archive version.
 ARC_FIELDS = {
     1: ("url", "ip", "date", "mime", "length"),
@@ -63,7 +69,8 @@ def parse_arc(data: bytes) -> Iterator[dict]:
     """The records of an archive, without its version block.
 
     The version comes from the block's first line (1 without a block). A line with too
-    few fields or no length ends the archive, as nothing says where the next one starts.
+    few fields or no length, or a document that is cut off, is an error that tells the
+    place: nothing says where the next record would start.
     """
     version, at = 1, 0
     while at < len(data):
@@ -73,20 +80,19 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         end = data.find(b"\n", at)
         line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
         opening = line.startswith("filedesc://")
-        if opening:
-            size = int(line.rsplit(" ", 1)[1])
-            body = data[end + 1 : end + 1 + size]
-            version = 2 if body[:1] == b"2" else 1
-            at = end + 1 + size
-            continue
-        names = ARC_FIELDS[version]
-        fields = line.rsplit(" ", len(names) - 1)
-        if end < 0 or len(fields) != len(names) or not fields[-1].isdigit():
-            return
+        names = ("length",) if opening else ARC_FIELDS[version]
+        fields = line.rsplit(" ", 1)[1:] if opening else line.rsplit(" ", len(names) - 1)
+        if end < 0 or len(fields) != len(names) or not re.fullmatch("[0-9]+", fields[-1]):
+            raise ValueError(f"the header line at byte {at} of an archive is damaged")
         record = dict(zip(names, fields, strict=True))
-        record["document"] = data[end + 1 : end + 1 + int(record["length"])]
-        yield record
-        at = end + 1 + int(record["length"])
+        document = data[end + 1 : end + 1 + int(record["length"])]
+        if len(document) < int(record["length"]):
+            raise ValueError(f"the record at byte {at} of an archive is cut off")
+        if opening:
+            version = 2 if document[:1] == b"2" else 1
+        else:
+            yield record | {"document": document}
+        at = end + 1 + len(document)
 
 
 def http_parts(document: bytes) -> tuple[dict[str, str], bytes]:
@@ -122,14 +128,21 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("content").alias("segment"))
 
 
-def _inflated(data: bytes) -> bytes:
-    """Plain bytes; gzip members one after the other are undone."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        one = zlib.decompressobj(31)
-        out.append(one.decompress(data))
-        data = one.unused_data
-    return b"".join(out) if out else data
+def _members(data: bytes) -> Iterator[bytes]:
+    """The plain bytes of each gzip member, one after the other; plain bytes as they are."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view = memoryview(data)
+    while len(view):
+        one, out, at = zlib.decompressobj(31), [], 0
+        while not one.eof and at < len(view):  # in steps, so that what is left isn't copied for each member
+            out.append(one.decompress(view[at : at + 65536]))
+            at += 65536
+        if not one.eof:
+            raise ValueError("an archive is cut off")
+        yield b"".join(out)
+        view = view[min(at, len(view)) - len(one.unused_data) :]
 
 
 def arc_records(segments: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -140,7 +153,7 @@ def arc_records(segments: DataFrame, with_payload: bool = True) -> DataFrame:
         for batch in batches:
             for segment in batch.column(0):
                 found = []
-                for r in parse_arc(_inflated(segment.as_py() or b"")):
+                for r in parse_arc(b"".join(_members(segment.as_py() or b""))):
                     headers, payload = http_parts(r["document"])
                     own = headers.get("x-page-id", "")
                     page_id = int(own) if own.lstrip("-").isdigit() else None
@@ -177,23 +190,31 @@ def revisits(records: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return own.join(first, "payload_digest").where("page_id != refers_to")
 
 
-def warc_records(records: DataFrame, seen: DataFrame) -> DataFrame:
-    """(value string) of the WARC records of ARC records; seen as revisits() gives it."""
+def warc_records(records: DataFrame, seen: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """(value string) pieces of gzip members, one for each ARC record's WARC record; seen
+    as revisits() gives it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                found = [warc_record(*r) for r in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True)]
-                yield pa.record_batch({"value": pa.array(found, pa.binary())})
+            for k in range(batch.num_rows):
+                record = warc_record(*(c[k].as_py() for c in batch.columns))
+                found.append(gzip.compress(record + CRLF + CRLF, 6, mtime=0))
+                size += len(found[-1])
+                if size >= piece_bytes:
+                    yield pa.record_batch({"value": pa.array([b"".join(found)], pa.binary())})
+                    found, size = [], 0
+        if found:
+            yield pa.record_batch({"value": pa.array([b"".join(found)], pa.binary())})
 
     both = records.join(seen, ["page_id", "payload_digest"], "left")
     payload = F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload")
     return both.select("page_id", "url", "date", "mime", "payload_bytes", "payload_digest", "refers_to", payload).mapInArrow(rows, "value binary").select(F.col("value").cast("string"))
 
 
-def write_warc(records: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Write WARC records to a folder of gzip archives."""
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+def write_warc(records: DataFrame, path: str, file_pieces: int = FILE_PIECES) -> None:
+    """Write pieces of WARC records to a folder of gzip archives."""
+    records.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_pieces).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -221,7 +242,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 found = []
-                for headers, block in parse_warc(_inflated(content.as_py())):
+                for headers, block in (r for member in _members(content.as_py()) for r in parse_warc(member)):
                     http, payload = http_parts(block)
                     digest, kind = headers["warc-payload-digest"].removeprefix("sha256:"), headers["warc-type"]
                     if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(http["content-length"])):

@@ -537,8 +537,26 @@ def test_arc_versions_parse():
         found = list(warc.parse_arc(data))
         assert [f["url"] for f in found] == ["http://a/%20b", "-", "x://y"]
         assert [warc.http_parts(f["document"])[1] for f in found] == [body, body * 2, body * 3]
-        assert list(warc.parse_arc(data[:-5]))[-1]["document"].startswith(b"HTTP/")
-    assert list(warc.parse_arc(b"")) == [] and list(warc.parse_arc(b"what is this\n")) == []
+        with pytest.raises(ValueError, match="cut off"):
+            list(warc.parse_arc(data[:-5]))
+        with pytest.raises(ValueError, match="damaged"):
+            list(warc.parse_arc(data.replace(b"x://y 0.0.0.0", b"x://y")))
+    assert list(warc.parse_arc(b"")) == []
+    with pytest.raises(ValueError, match="byte 0"):
+        list(warc.parse_arc(b"what is this\n"))
+
+
+def test_archives_are_bounded_in_bytes(spark, tmp_path):
+    rnd = random.Random(23)
+    noise = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    rows = [(k, f"http://a/{k}", noise(rnd.choice([0, 300, 30_000]))) for k in range(300)] + [(900, "http://big/", noise(6_000_000)), (901, "http://odd/", "<p>\x1f\x8b\u0000</p>" * 9)]
+    records = warc.arc_records(warc.arc_segments(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    warc.write_warc(warc.warc_records(records, warc.revisits(records), piece_bytes=50_000), str(tmp_path / "w"), file_pieces=2)
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    assert len(files) > 10 and sorted(len(f) for f in files)[-2] < 2 * 50_000 + 40_000
+    assert sum(f.count(b"\x1f\x8b\x08\x00") for f in files) >= len(rows) and all(gzip.decompress(f).startswith(b"WARC/1.0") for f in files)
+    got = {r["page_id"]: r["payload_digest"] for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got == {k: hashlib.sha256(h.encode()).hexdigest() for k, _, h in rows}
 
 
 def test_pages_round_trip(spark, tmp_path):
