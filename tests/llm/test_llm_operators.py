@@ -305,6 +305,22 @@ def test_snapshots_collapse(spark):
     assert chat.rendered(table.limit(0)).count() == 0
 
 
+def test_turns_of_one_number_and_long_turns(spark):
+    rnd = random.Random(29)
+    same = [(1, None, "user", f"t{k}") for k in range(1000)] + [(2, 5, "user", f"t{k}") for k in range(700)] + [(2, 5, "user", "t1")] * 50
+    long = [(3, 0, "user", "hi"), (3, 1, "assistant", "x" * 300_000), (4, 0, "user", "hi"), (4, 1, "assistant", "x" * 300_000), (4, 2, "user", "more")]
+    rnd.shuffle(same)
+    table = spark.createDataFrame(same + long, "conv_id long, turn long, role string, text string")
+    got = chat.rendered(table).collect()
+    for conv, n in ((1, 1000), (2, 700)):
+        own = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["part"])
+        assert [r["n_turns"] for r in own] == [64] * (n // 64) + [n % 64] and [r["part"] for r in own] == list(range(len(own)))
+        texts = re.findall(r"user\n(t[0-9]+)<", "".join(r["rendered"] for r in own))
+        assert sorted(texts) == sorted({t for c, _, _, t in same if c == conv})
+    assert {r["conv_id"] for r in got} == {1, 2, 4}
+    assert next(r for r in got if r["conv_id"] == 4)["n_chars"] > 300_000
+
+
 # 6 sharding
 
 
