@@ -6,6 +6,7 @@ distance is a JVM expression.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +34,44 @@ def osa_distance(a: str, b: str) -> int:
     return one[-1]
 
 
+def _letters(words: list[str], width: int) -> np.ndarray:
+    out = np.zeros((len(words), width), np.int32)
+    for k, w in enumerate(words):
+        out[k, : len(w)] = [ord(c) for c in w]
+    return out
+
+
+def osa_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """osa_distance of each pair, a column of the table at a time for all pairs at once."""
+    a, b = [x.lower() for x in a], [y.lower() for y in b]
+    la, lb = np.array([len(x) for x in a]), np.array([len(y) for y in b])
+    x, y = _letters(a, max(la, default=0)), _letters(b, max(lb, default=0))
+    out = np.where(la == 0, lb, 0)
+    two, one = None, np.tile(np.arange(y.shape[1] + 1), (len(a), 1))
+    for i in range(x.shape[1]):
+        row = np.empty_like(one)
+        row[:, 0] = i + 1
+        for j in range(y.shape[1]):
+            d = np.minimum(np.minimum(one[:, j + 1], row[:, j]) + 1, one[:, j] + (x[:, i] != y[:, j]))
+            if i and j:
+                swap = (x[:, i] == y[:, j - 1]) & (x[:, i - 1] == y[:, j])
+                d = np.where(swap, np.minimum(d, two[:, j - 1] + 1), d)
+            row[:, j + 1] = d
+        out = np.where(la == i + 1, row[np.arange(len(a)), lb], out)
+        two, one = one, row
+    return out
+
+
 @F.pandas_udf(LongType())
 def osa(a: pd.Series, b: pd.Series) -> pd.Series:
     """osa_distance for columns; a null on either side gives null."""
-    return pd.Series([None if x is None or y is None else osa_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+    full = a.notna() & b.notna()
+    out = pd.Series([None] * len(a), index=a.index, dtype="Int64")
+    rows = np.flatnonzero(full.to_numpy())
+    for at in range(0, len(rows), 2000):  # words of like lengths share a table
+        some = rows[at : at + 2000]
+        out.iloc[some] = osa_distances(a.iloc[some].tolist(), b.iloc[some].tolist())
+    return out
 
 
 def closest(word: str, candidates: list[str]) -> str:
@@ -46,16 +81,20 @@ def closest(word: str, candidates: list[str]) -> str:
     return candidates[found[1]] if found and found[0] <= max(1, len(word) // 3) else ""
 
 
-def closest_match(df: DataFrame, word: str, candidates: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Add closest. candidates: (ord, name), at most ``limit`` of them, which is checked;
-    the list travels with the query, so the join is one against a short list."""
-    rows = candidates.orderBy("ord").limit(limit + 1).select("name").collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} candidates")
-    names = [r[0] for r in rows]
-    near = F.pandas_udf(lambda s: s.map(lambda w: None if w is None else closest(w, names)), "string")
-    words = df.select(word).distinct().withColumn("closest", near(F.col(word)))
-    return df.join(words, word)
+def closest_match(df: DataFrame, word: str, candidates: DataFrame) -> DataFrame:
+    """Add closest. candidates: (ord, name), any number of them.
+
+    Distances are at least the difference of lengths, so distinct words meet only the
+    candidates whose length is within their bound, by an equality join on lengths, and
+    of those the nearest, then the first, is kept by an aggregation.
+    """
+    words = df.select(F.col(word).alias("word_")).distinct().withColumn("most", F.greatest(F.lit(1), F.floor(F.length("word_") / 3)).cast("int"))
+    spread = words.where("word_ is not null").withColumn("letters", F.explode(F.sequence(F.length("word_") - F.col("most"), F.length("word_") + F.col("most"))))
+    names = candidates.select("ord", "name", F.length("name").alias("letters"))
+    near = spread.join(names, "letters").withColumn("distance", osa(F.col("word_"), F.col("name"))).where("distance <= most")
+    best = near.groupBy("word_").agg(F.min(F.struct("distance", "ord", "name")).alias("x")).select("word_", F.col("x.name").alias("closest"))
+    told = words.select("word_").join(best, "word_", "left").withColumn("closest", F.when(F.col("word_").isNotNull(), F.coalesce("closest", F.lit(""))))
+    return df.join(told, F.col(word).eqNullSafe(F.col("word_"))).drop("word_")
 
 
 def grouped(n: Column, style: str = "es") -> Column:
@@ -65,9 +104,26 @@ def grouped(n: Column, style: str = "es") -> Column:
 
 
 def fixed(x: Column, places: int, style: str = "es") -> Column:
-    """A number with so many decimals; a zero has no sign."""
-    plain = F.format_string(f"%,.{places}f", x.cast("double"))
-    plain = F.when(plain.rlike("^-[0.,]*$"), F.substring(plain, 2, 1000)).otherwise(plain)
+    """A number with so many decimals (2 at most); a zero has no sign.
+
+    The double's exact value is rounded, a tie to the even digit: its fraction counts
+    2**-53 parts, and those times a power of ten are whole numbers.
+    """
+    if not 0 <= places <= 2:
+        raise ValueError("0, 1 or 2 decimals")
+    size = F.abs(x.cast("double"))
+    whole, scale = F.floor(size).cast("long"), 10**places
+    parts = (size - whole) * float(1 << 53)
+    held = F.floor(parts).cast("long") * scale
+    digits, rest, half = F.shiftright(held, 53), held.bitwiseAND(F.lit((1 << 53) - 1)), F.lit(1 << 52)
+    below = whole * scale + digits
+    up = (rest > half) | ((rest == half) & ((parts != F.floor(parts)) | (below % 2 == 1)))
+    told = below + up.cast("long")
+    plain = F.format_string("%,d", F.floor(told / scale).cast("long") if places == 0 else ((told - told % scale) / scale).cast("long"))
+    if places:
+        plain = F.concat(plain, F.lit("."), F.lpad((told % scale).cast("string"), places, "0"))
+    plain = F.when(size < 1e13, plain).otherwise(F.format_string(f"%,.{places}f", size))  # no fraction counts there
+    plain = F.when((x.cast("double") < 0) & plain.rlike("[1-9]"), F.concat(F.lit("-"), plain)).otherwise(plain)
     return F.translate(plain, ",.", ".,") if style == "es" else plain
 
 
@@ -76,7 +132,7 @@ def three_digits(x: Column, style: str = "es") -> Column:
 
 
 def format_bytes(n: Column, style: str = "es") -> Column:
-    """Decimal units and about three digits: 38200 is 38,2 KB."""
+    """Decimal units and about three digits."""
     size = F.abs(n.cast("double"))
     out = F.when(size < 1000, F.concat(grouped(size, style), F.lit(" B")))
     for k, unit in enumerate(UNITS):
@@ -91,7 +147,7 @@ def _pad(n: Column) -> Column:
 
 
 def format_duration(seconds: Column, style: str = "es") -> Column:
-    """412 ms, 3,24 s, 3 min 07 s, 2 h 13 min."""
+    """Milliseconds, seconds of three digits, minutes or hours: 87 ms, 5,31 s, 6 min 02 s."""
     s = F.abs(seconds.cast("double"))
     whole = F.floor(s).cast("long")
     minutes, hours = F.floor(whole / 60).cast("long"), F.floor(whole / 3600).cast("long")
@@ -106,7 +162,7 @@ def format_duration(seconds: Column, style: str = "es") -> Column:
 
 
 def format_clock(seconds: Column) -> Column:
-    """3:07 or 1:04:09; what is negative is 0:00."""
+    """Minutes and seconds, with hours in front if there are any; negative times are 0:00."""
     t = F.floor(F.greatest(seconds.cast("double"), F.lit(0.0)) + 0.5).cast("long")
     h, m, s = F.floor(t / 3600).cast("long"), F.floor(t / 60).cast("long") % 60, t % 60
     return F.when(h > 0, F.concat(h.cast("string"), F.lit(":"), _pad(m), F.lit(":"), _pad(s))).otherwise(F.concat(m.cast("string"), F.lit(":"), _pad(s)))
@@ -122,7 +178,7 @@ def _ago(text: Column, style: str) -> Column:
 
 
 def format_ago(seconds: Column, style: str = "es", short: bool = False) -> Column:
-    """How long ago: hace 9 s, hace 2 h 13 min, hace 2 días; short keeps one unit."""
+    """How long ago, in seconds, minutes, hours or days; short keeps one unit."""
     whole = F.floor(seconds.cast("double")).cast("long")
     days = F.floor(whole / 86400).cast("string")
     middle = F.when(whole < 3600, F.concat(F.floor(whole / 60).cast("string"), F.lit(" min"))).otherwise(F.concat(F.floor(whole / 3600).cast("string"), F.lit(" h"))) if short else format_duration(whole, style)
@@ -140,7 +196,7 @@ def format_rate(n: Column, seconds: Column, style: str = "es") -> Column:
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of 25MB, 1,5GB, 10MiB, 500k; null where it is no size."""
+    """Bytes of a decimal number, with point or comma, and a unit; null where it is no size."""
     raw = F.trim(text)
     number = F.translate(F.regexp_extract(raw, r"^([0-9.,]+)", 1), ",", ".")
     unit = F.lower(F.trim(F.regexp_extract(raw, r"^[0-9.,]*(.*)$", 1)))
@@ -149,7 +205,8 @@ def parse_size(text: Column) -> Column:
 
 
 def parse_timecode(text: Column) -> Column:
-    """Seconds of 90, 1:30, 01:02:03.5, 1m30s, 2h, 0,5; null where it is no time."""
+    """Seconds of a plain number, up to three parts between colons, or numbers with units;
+    null where it is no time."""
     raw = F.trim(F.translate(text, ",", "."))
     parts = F.split(raw, ":")
     clock = F.aggregate(parts, F.lit(0.0), lambda total, p: total * 60 + F.when(p.rlike(r"^[0-9]*\.?[0-9]+$|^[0-9]+\.$"), p.try_cast("double")))
@@ -170,7 +227,14 @@ def parse_bool(text: Column) -> Column:
 
 
 def is_number(text: Column) -> Column:
-    return text.try_cast("double").isNotNull()
+    """Decimal and hexadecimal numbers as a whole, without spaces or suffixes; digits may
+    be parted by single underscores. What is too large for a double is none."""
+    d = "[0-9](_?[0-9])*"
+    h = "[0-9a-f](_?[0-9a-f])*"
+    decimal = text.rlike(rf"(?i)^[+-]?({d}(\.({d})?)?|\.{d})(e[+-]?{d})?$")
+    size = F.abs(F.translate(text, "_", "").try_cast("double"))
+    hexadecimal = text.rlike(rf"(?i)^[+-]?0x_?({h}(\.({h})?)?|\.{h})p[+-]?{d}$")
+    return F.when(decimal, size < float("inf")).otherwise(hexadecimal | text.rlike("(?i)^([+-]?inf(inity)?|nan)$"))
 
 
 def text_bytes(text: Column) -> Column:

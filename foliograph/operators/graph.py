@@ -36,6 +36,24 @@ def flatten_tree(nodes: DataFrame, inherited: list[str]) -> DataFrame:
     raise ValueError("a root reaches a cycle")
 
 
+def visible_descendants(nodes: DataFrame, open_: str) -> DataFrame:
+    """(doc_id, node, visible): signed counts of the descendants that show, negative
+    where the node itself is closed.
+
+    nodes: (doc_id, node, parent, ord, and the flag). A node shows below an ancestor if
+    all nodes between them are open, so each node counts for its ancestors from the
+    deepest closed one on.
+    """
+    tree = flatten_tree(nodes.select("doc_id", "node", "parent", "ord"), [])
+    flags = nodes.select("doc_id", "node", F.col(open_).alias("open_"))
+    shut = tree.join(flags, ["doc_id", "node"]).where("not open_").select("doc_id", "path")
+    steps = tree.select("doc_id", "node", "path", F.explode_outer(F.expr("transform(sequence(1, size(path)), k -> slice(path, 1, k))")).alias("up")).where("size(up) < size(path)")
+    closed = steps.join(shut.withColumnRenamed("path", "up"), ["doc_id", "up"]).groupBy("doc_id", "node").agg(F.max(F.size("up")).alias("deepest_"))
+    counts = steps.join(closed, ["doc_id", "node"], "left").where("size(up) >= coalesce(deepest_, 1)").groupBy("doc_id", F.col("up").alias("path")).agg(F.count(F.lit(1)).alias("n_"))
+    told = tree.join(counts, ["doc_id", "path"], "left").join(flags, ["doc_id", "node"])
+    return told.select("doc_id", "node", (F.coalesce("n_", F.lit(0)) * F.when(F.col("open_"), 1).otherwise(-1)).alias("visible"))
+
+
 def reachable(edges: DataFrame, roots: DataFrame, barrier: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
     """(node, hops) of what the roots reach over edges (src, dst); a barrier stops there.
 

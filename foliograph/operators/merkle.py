@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Children's digests that are hashed together.
+CHUNK = 4096
+
+
 def with_children(parents: DataFrame, children: DataFrame, parent_key: str, content: Column, name: str = "digest") -> DataFrame:
     """Hash each parent over its own content and its children's digests, sorted.
 
-    children: (parent_key, digest). A parent without children hashes its content alone.
+    children: (parent_key, digest). A parent without children hashes its content alone,
+    one with up to CHUNK children the content and their digests. Those of a parent with
+    more are numbered in order, hashed in chunks, and the chunks' digests once more, so
+    no task gathers all children of a parent.
     """
-    kids = children.groupBy(parent_key).agg(F.array_join(F.sort_array(F.collect_list("digest")), "").alias("kids_"))
+    w = Window.partitionBy(parent_key, "range_").orderBy("digest")
+    counts = children.groupBy(parent_key, F.substring("digest", 1, 2).alias("range_")).agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy(parent_key).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(parent_key, "range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    numbered = children.withColumn("range_", F.substring("digest", 1, 2)).withColumn("nth_", F.row_number().over(w) - 1).join(starts, [parent_key, "range_"])
+    chunk = F.floor((F.col("start_") + F.col("nth_")) / CHUNK).alias("chunk_")
+    chunks = numbered.groupBy(parent_key, chunk).agg(F.array_join(F.sort_array(F.collect_list("digest")), "").alias("text_"))
+    last = chunks.groupBy(parent_key).agg(F.count(F.lit(1)).alias("chunks_"), F.max_by("text_", "chunk_").alias("only_"), F.transform(F.sort_array(F.collect_list(F.struct("chunk_", F.sha2("text_", 256).alias("digest")))), lambda x: x["digest"]).alias("digests_"))
+    kids = last.select(parent_key, F.when(F.col("chunks_") == 1, F.col("only_")).otherwise(F.array_join("digests_", "")).alias("kids_"))
     return parents.join(kids, parent_key, "left").withColumn(name, F.sha2(F.concat(content, F.lit("|"), F.coalesce("kids_", F.lit(""))), 256)).drop("kids_")
 
 

@@ -90,6 +90,21 @@ def expand(patterns: list[str], accept: Callable[[str], bool] = lambda name: Tru
     return list(out.values()), problems
 
 
+def shown(path: str) -> str:
+    """A path as it is told: from the current folder on if it lies in it, else whole."""
+    if path == "-":
+        return "(standard input)"
+    whole, here = os.path.abspath(path), os.getcwd()
+    inside = os.path.commonpath([whole, here]) == here if os.path.splitdrive(whole)[0] == os.path.splitdrive(here)[0] else False
+    return os.path.relpath(whole, here) if inside else whole
+
+
+def with_extension(path: str, ending: str) -> str:
+    """The path with what follows the last dot of its name replaced; ending has its dot."""
+    name = re.search(r"[^/]*$", path)[0]
+    return path[: len(path) - len(name)] + re.sub(r"\.[^.]*$", "", name) + ending
+
+
 def split_spec(argument: str) -> tuple[str, str]:
     """(pattern, selection) of file@selection, cut at the last @; an existing file, and
     what isn't a selection, stays whole."""

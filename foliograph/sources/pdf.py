@@ -191,13 +191,15 @@ def unpredict(data: bytes, predictor: int, colors: int, bits: int, columns: int)
         kind, row = data[at], bytearray(data[at + 1 : at + 1 + width])
         if kind == 2:
             row = bytearray((np.frombuffer(row, np.uint8) + np.frombuffer(last, np.uint8)).tobytes())
-        elif kind in (1, 3, 4):
+        elif kind == 1:
+            samples = np.zeros(-(-width // step) * step, np.uint8)
+            samples[:width] = np.frombuffer(row, np.uint8)
+            row = bytearray(np.cumsum(samples.reshape(-1, step), axis=0, dtype=np.uint8).tobytes()[:width])
+        elif kind in (3, 4):
             for k in range(width):
                 left = row[k - step] if k >= step else 0
                 up, corner = last[k], last[k - step] if k >= step else 0
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
+                if kind == 3:
                     guess = (left + up) // 2
                 else:
                     base = left + up - corner
@@ -238,6 +240,8 @@ class Document:
     containers: dict[int, list] = field(default_factory=dict)
     opener: object = None  # decrypts, once there is a key
     rebuilt: bool = False
+    page_list: list[Page] | None = None
+    names: dict[bytes, object] | None = None
 
     # cross references
 
@@ -303,7 +307,7 @@ class Document:
     def rebuild(self) -> None:
         """Places from a scan of all bytes, the last object of a number winning; then
         containers, which never beat direct objects; then the best trailer."""
-        self.rebuilt, self.known, self.containers = True, {}, {}
+        self.rebuilt, self.known, self.containers, self.page_list, self.names = True, {}, {}, None, None
         self.places = {int(m[1]): Place(offset=m.start()) for m in _OBJECT.finditer(self.data)}
         direct = sorted(self.places, key=lambda n: -self.places[n].offset)
         for num in direct:
@@ -423,7 +427,13 @@ class Document:
         return self.mapping(self.trailer.get("Root"))
 
     def pages(self) -> list[Page]:
-        """Pages in order with inherited attributes; what comes twice in the tree counts once."""
+        """Pages in order with inherited attributes; what comes twice in the tree counts once.
+
+        A node without a type, or a tree node, gives its kids, or is a page if it has
+        none but contents, and else an error; a node of any other type is a page.
+        """
+        if self.page_list is not None:
+            return self.page_list
         out, seen = [], set()
         stack = [(self.root.get("Pages"), {})]
         while stack:
@@ -432,20 +442,28 @@ class Document:
                 if value.num in seen:
                     continue
                 seen.add(value.num)
-            node = self.mapping(value)
-            if not node:
+            if not isinstance(self.resolve(value), (dict, Stream)):
                 continue
+            node = self.mapping(value)
             own = above | {k: node[k] for k in INHERITED if node.get(k) is not None}
-            kids = self.resolve(node.get("Kids"))
-            if node.get("Type") == "Pages" or (node.get("Type") != "Page" and isinstance(kids, list)):
-                stack.extend((k, own) for k in reversed(kids or []))
+            kids, kind = self.resolve(node.get("Kids")), node.get("Type")
+            inner = kind == "Pages" or not isinstance(kind, Name) or kind == ""
+            if inner and isinstance(kids, list):
+                stack.extend((k, own) for k in reversed(kids))
+            elif inner and node.get("Contents") is None:
+                raise PdfError("a node of the page tree has no kids")
             else:
                 attrs = {k: v for k, v in node.items() if k != "Parent"}
                 out.append(Page(value.num if isinstance(value, Ref) else 0, own | attrs))
+        if not out:
+            raise PdfError("the document has no pages")
+        self.page_list = out
         return out
 
     def named_destinations(self) -> dict[bytes, object]:
         """The catalog's dictionary first, then the name tree; the first of a name wins."""
+        if self.names is not None:
+            return self.names
         out = {k.encode("latin-1"): v for k, v in self.mapping(self.root.get("Dests")).items()}
         stack, seen = [(self.mapping(self.root.get("Names")).get("Dests"), 0)], set()
         while stack:
@@ -459,6 +477,7 @@ class Document:
                 key = self.resolve(key)
                 out.setdefault(bytes(key) if isinstance(key, Text) else str(key).encode("latin-1"), target)
             stack.extend((k, depth + 1) for k in reversed(self.resolve(node.get("Kids")) or []))
+        self.names = out
         return out
 
     def destination(self, value: object) -> list | None:

@@ -39,7 +39,9 @@ def _parsed(batches: Iterator[pa.RecordBatch], passwords: tuple[str, ...]) -> It
     for batch in batches:
         for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
-                yield doc_id, content or b"", parse(content or b"", passwords), "OK", ""
+                doc = parse(content or b"", passwords)
+                doc.pages()
+                yield doc_id, content or b"", doc, "OK", ""
             except Exception as e:  # one file's problem is its own row
                 yield doc_id, content or b"", None, "Skip" if isinstance(e, PasswordError) else "Fail", f"{type(e).__name__}: {e}"[:500]
 
