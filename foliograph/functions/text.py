@@ -6,6 +6,8 @@ distance is a JVM expression.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,6 +105,11 @@ def grouped(n: Column, style: str = "es") -> Column:
     return F.translate(plain, ",", ".") if style == "es" else plain
 
 
+def _let(value: Column, told: Callable[[Column], Column]) -> Column:
+    """told(value), with the value computed once and named once in the expression."""
+    return F.get(F.transform(F.array(value), told), F.lit(0))
+
+
 def fixed(x: Column, places: int, style: str = "es") -> Column:
     """A number with so many decimals (2 at most); a zero has no sign.
 
@@ -111,23 +118,33 @@ def fixed(x: Column, places: int, style: str = "es") -> Column:
     """
     if not 0 <= places <= 2:
         raise ValueError("0, 1 or 2 decimals")
-    size = F.abs(x.cast("double"))
-    whole, scale = F.floor(size).cast("long"), 10**places
-    parts = (size - whole) * float(1 << 53)
-    held = F.floor(parts).cast("long") * scale
-    digits, rest, half = F.shiftright(held, 53), held.bitwiseAND(F.lit((1 << 53) - 1)), F.lit(1 << 52)
-    below = whole * scale + digits
-    up = (rest > half) | ((rest == half) & ((parts != F.floor(parts)) | (below % 2 == 1)))
-    told = below + up.cast("long")
-    plain = F.format_string("%,d", F.floor(told / scale).cast("long") if places == 0 else ((told - told % scale) / scale).cast("long"))
-    if places:
-        plain = F.concat(plain, F.lit("."), F.lpad((told % scale).cast("string"), places, "0"))
-    plain = F.when(size < 1e13, plain).otherwise(F.format_string(f"%,.{places}f", size))  # no fraction counts there
-    plain = F.when((x.cast("double") < 0) & plain.rlike("[1-9]"), F.concat(F.lit("-"), plain)).otherwise(plain)
+    scale, half = 10**places, F.lit(1 << 52)
+
+    def rounded(size: Column) -> Column:
+        """The number times the scale, as a long."""
+        whole, parts = F.floor(size).cast("long"), (size - F.floor(size)) * float(1 << 53)
+        held = F.floor(parts).cast("long") * scale
+        below, rest = whole * scale + F.shiftright(held, 53), held.bitwiseAND(F.lit((1 << 53) - 1))
+        up = (rest > half) | ((rest == half) & ((parts != F.floor(parts)) | (below % 2 == 1)))
+        return below + up.cast("long")
+
+    def shown(told: Column) -> Column:
+        plain = F.format_string("%,d", ((told - told % scale) / scale).cast("long"))
+        return F.concat(plain, F.lit("."), F.lpad((told % scale).cast("string"), places, "0")) if places else plain
+
+    def signed(plain: Column) -> Column:
+        return F.when((x.cast("double") < 0) & plain.rlike("[1-9]"), F.concat(F.lit("-"), plain)).otherwise(plain)
+
+    def text(size: Column) -> Column:  # beyond 1e13 no fraction counts
+        return F.when(size < 1e13, _let(rounded(size), shown)).otherwise(F.format_string(f"%,.{places}f", size))
+
+    plain = _let(_let(F.abs(x.cast("double")), text), signed)
+    plain = F.when(x.isNotNull(), plain)
     return F.translate(plain, ",.", ".,") if style == "es" else plain
 
 
 def three_digits(x: Column, style: str = "es") -> Column:
+    """Two decimals below 10, one below 100, else none."""
     return F.when(x < 10, fixed(x, 2, style)).when(x < 100, fixed(x, 1, style)).otherwise(fixed(x, 0, style))
 
 

@@ -7,7 +7,7 @@ where a file is parsed, so finding equal objects across files is one aggregation
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -15,13 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merkle
-from .pdf import Document, PasswordError, Ref, Stream, parse, walk
+from .pdf import Document, PasswordError, Ref, Stream, Text, parse, walk, whole
 from .pdf_merge import Source, merge, selected
 from .pdf_write import digests, has_identity, printed, segments
 
 DOCS = "doc_id string, length long, pages int, objects int, encrypted boolean, restricted boolean, status string, error string"
 OBJECTS = "doc_id string, num int, tag string, type_name string, subtype string, raw_len long, identity boolean, digest binary, refs array<int>, segments array<binary>"
 PAGES = "doc_id string, page_no int, obj_num int, media_box binary, crop_box binary, resources binary, rotate binary"
+CONTENTS = "doc_id string, page_no int, content binary"
+OUTLINES = "doc_id string, ord int, depth int, title string, page_no int, count int"
+LINKS = "doc_id string, page_no int, ord int, target int"
+FIELDS = "doc_id string, ord int, name string, kids int, value string"
 MERGED = "group string, content binary, files int, pages int, bytes_in long, bytes_out long, merged int, bytes_saved long, bookmarks int, fields int, renamed int, status string, error string"
 
 
@@ -63,6 +67,12 @@ def documents(files: DataFrame, passwords: tuple[str, ...] = ()) -> DataFrame:
     return files.select("doc_id", "content").mapInArrow(rows, DOCS)
 
 
+def run_totals(docs: DataFrame) -> DataFrame:
+    """One row about documents(): files by status, restricted ones, and pages."""
+    by = {"ok": "OK", "skipped": "Skip", "failed": "Fail"}
+    return docs.agg(F.count(F.lit(1)).alias("files"), *[F.count_if(F.col("status") == v).alias(k) for k, v in by.items()], F.count_if("restricted").alias("restricted"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"))
+
+
 def strict(docs: DataFrame) -> DataFrame:
     """documents() that raises at the first file that isn't OK."""
     return docs.withColumn("status", F.when(F.col("status") == "OK", F.col("status")).otherwise(F.raise_error(F.concat("doc_id", F.lit(": "), "error"))))
@@ -103,6 +113,98 @@ def pages(files: DataFrame, passwords: tuple[str, ...] = ()) -> DataFrame:
     return files.select("doc_id", "content").mapInArrow(rows, PAGES)
 
 
+def _each(files: DataFrame, schema: str, told: Callable[[Document], Iterator[tuple]], passwords: tuple[str, ...]) -> DataFrame:
+    """doc_id and the rows that a function tells of each file that can be read."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, _, doc, _, _ in _parsed(batches, passwords):
+            found = [(doc_id, *r) for r in told(doc)] if doc else []
+            if found:
+                yield _table(found, schema)
+
+    return files.select("doc_id", "content").mapInArrow(rows, schema)
+
+
+def contents(files: DataFrame, passwords: tuple[str, ...] = ()) -> DataFrame:
+    """The bytes of each page's content, decrypted and through its filters."""
+
+    def told(doc: Document) -> Iterator[tuple]:
+        for k, p in enumerate(doc.pages(), 1):
+            value = doc.resolve(p.attrs.get("Contents"))
+            parts = [doc.resolve(v) for v in (value if isinstance(value, list) else [value])]
+            yield k, b"\n".join(doc.decoded(v) for v in parts if isinstance(v, Stream))
+
+    return _each(files, CONTENTS, told, passwords)
+
+
+def _shown_text(value: object) -> str | None:
+    if not isinstance(value, Text):
+        return None
+    return bytes(value[2:]).decode("utf-16-be", "replace") if value.startswith(b"\xfe\xff") else bytes(value).decode("latin-1")
+
+
+class _Targets:
+    """Page numbers of destinations."""
+
+    def __init__(self, doc: Document):
+        self.doc, self.numbers, self.pages = doc, {}, len(doc.pages())
+        for k, p in enumerate(doc.pages(), 1):
+            self.numbers.setdefault(p.num, k)
+
+    def of(self, node: dict) -> int | None:
+        value = node.get("Dest")
+        if value is None:
+            action = self.doc.mapping(node.get("A"))
+            value = action.get("D") if action.get("S") == "GoTo" else None
+        explicit = self.doc.destination(value)
+        page = explicit[0] if explicit else None
+        if isinstance(page, Ref):
+            return self.numbers.get(page.num)
+        return page + 1 if isinstance(page, int) and not isinstance(page, bool) and 0 <= page < self.pages else None
+
+
+def outlines(files: DataFrame, passwords: tuple[str, ...] = ()) -> DataFrame:
+    """Bookmarks in the order they show; count is the signed one that is written."""
+
+    def told(doc: Document) -> Iterator[tuple]:
+        targets, seen, k = _Targets(doc), set(), 0
+        stack = [(doc.mapping(doc.root.get("Outlines")).get("First"), 0)]
+        while stack:
+            ref, depth = stack.pop()
+            if not isinstance(ref, Ref) or ref.num in seen or depth > 64:
+                continue
+            seen.add(ref.num)
+            node, k = doc.mapping(ref), k + 1
+            yield k, depth, _shown_text(doc.resolve(node.get("Title"))), targets.of(node), whole(node.get("Count")) or 0
+            stack += [(node.get("Next"), depth), (node.get("First"), depth + 1)]
+
+    return _each(files, OUTLINES, told, passwords)
+
+
+def links(files: DataFrame, passwords: tuple[str, ...] = ()) -> DataFrame:
+    """Link annotations of each page; target is a page number, or null."""
+
+    def told(doc: Document) -> Iterator[tuple]:
+        targets = _Targets(doc)
+        for k, p in enumerate(doc.pages(), 1):
+            nodes = [doc.mapping(a) for a in doc.resolve(p.attrs.get("Annots")) or []]
+            for n, node in enumerate((a for a in nodes if a.get("Subtype") == "Link"), 1):
+                yield k, n, targets.of(node)
+
+    return _each(files, LINKS, told, passwords)
+
+
+def fields(files: DataFrame, passwords: tuple[str, ...] = ()) -> DataFrame:
+    """Root fields of the form, with their number of kids."""
+
+    def told(doc: Document) -> Iterator[tuple]:
+        for k, f in enumerate(doc.resolve(doc.mapping(doc.root.get("AcroForm")).get("Fields")) or [], 1):
+            node = doc.mapping(f)
+            yield k, _shown_text(doc.resolve(node.get("T"))), len(doc.resolve(node.get("Kids")) or []), _shown_text(doc.resolve(node.get("V")))
+
+    return _each(files, FIELDS, told, passwords)
+
+
 def shared_objects(objs: DataFrame) -> DataFrame:
     """objects() with keeper, "doc_id#num" of the first equal object in any file."""
     return merkle.representatives(objs.withColumn("key", F.concat("doc_id", F.lit("#"), F.lpad(F.col("num").cast("string"), 10, "0"))), "digest", "key")

@@ -1,5 +1,6 @@
 """Golden cases of ranges, names, order, distances, formats, trees and graphs."""
 
+import hashlib
 import random
 
 import pytest
@@ -184,3 +185,72 @@ def test_freed_rows_let_older_ones_resurface(spark):
 def test_identity_never_merges(spark):
     rows = spark.createDataFrame([(1, 7), (2, 7)], "doc int, num int").withColumn("digest", merkle.identity_digest(F.col("doc"), F.col("num")))
     assert rows.select("digest").distinct().count() == 2
+
+
+def test_ties_round_to_even(spark):
+    sizes = [1125, 12250, 100500, 1135, 999499, 999500, -1125, 0]
+    assert told(spark, T.format_bytes, sizes, "long") == ["1,12 KB", "12,2 KB", "100 KB", "1,14 KB", "999 KB", "1,00 MB", "-1,12 KB", "0 B"]
+    assert told(spark, T.format_duration, [4.125, 10.25, 59.95], "double") == ["4,12 s", "10,2 s", "60,0 s"]
+    rnd = random.Random(41)
+    values = [rnd.random() * 10 ** rnd.randint(-6, 9) for _ in range(300)] + [k / 16 for k in range(200)] + [2.675, 1.005, 0.5, 1.5, 2.5, 1e-300, 2.0**52 + 1]
+    for places in (0, 1, 2):  # Python rounds a double's exact value, ties to even
+        assert told(spark, lambda c, p=places: T.fixed(c, p, "en"), values, "double") == [f"{v:,.{places}f}" for v in values]
+    assert told(spark, lambda c: T.fixed(c, 1, "en"), [None], "double") == [None]
+
+
+def test_numbers_are_whole_texts(spark):
+    yes = ["3", "-3.5e-7", "+.5", "5.", "1_000.2_5", "0x1p-2", "0X_1.8P3", "inf", "-Infinity", "NaN"]
+    no = [" 3 ", "1d", "1f", "", ".", "1__0", "_1", "1_", "0x1", "1e999", "+nan", "e5", "1 2"]
+    assert told(spark, T.is_number, [*yes, *no, None], "string") == [True] * len(yes) + [False] * len(no) + [None]
+
+
+def test_distances_and_nearest_names(spark):
+    rnd = random.Random(43)
+    words = ["", "a", "Force", "froce", "ca", "abc", *("".join(rnd.choice("abcé") for _ in range(rnd.randint(0, 7))) for _ in range(60))]
+    pairs = [(rnd.choice(words), rnd.choice(words)) for _ in range(300)]
+    assert T.osa_distances(*map(list, zip(*pairs, strict=True))).tolist() == [T.osa_distance(a, b) for a, b in pairs]
+    names = [(k, "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6)))) for k in range(400)]
+    typed = [(w,) for w in {*words, None, "zzzzzz"}]
+    got = T.closest_match(spark.createDataFrame(typed, "word string"), "word", spark.createDataFrame(names, "ord int, name string"))
+    assert {r["word"]: r["closest"] for r in got.collect()} == {w: None if w is None else T.closest(w, [n for _, n in names]) for (w,) in typed}
+
+
+def test_numbers_over_many_partitions(spark):
+    rows = spark.range(3000).selectExpr("concat('k', lpad(id * 7919 % 3000, 5, '0')) AS key").unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS key"))
+    got = order.renumbered(rows, "key", parts=2000)
+    assert [tuple(r) for r in got.orderBy("new_no").collect()] == [(None, 1), *((f"k{n:05}", n + 2) for n in range(3000))]
+    assert order.renumbered(rows.limit(0), "key").count() == 0
+
+
+def test_cycles_below_a_root_and_very_deep_trees(spark):
+    nodes = [(0, "a", None, 0), (0, "b", "a", 0), (0, "x", "y", 0), (0, "y", "x", 0)]
+    got = graph.flatten_tree(spark.createDataFrame(nodes, "doc_id int, node string, parent string, ord int"), [])
+    assert sorted(r["node"] for r in got.collect()) == ["a", "b"]  # no root reaches the others
+
+
+def test_visible_descendants_match_the_list(spark):
+    rnd = random.Random(47)
+    items = [{"id": k, "parent": rnd.randrange(k) if k > 1 else 0, "open": rnd.random() < 0.6} for k in range(1, 60)]
+    rows = [(0, str(x["id"]), str(x["parent"]) if x["parent"] else None, x["id"], x["open"]) for x in items]
+    got = graph.visible_descendants(spark.createDataFrame(rows, "doc_id int, node string, parent string, ord int, is_open boolean"), "is_open")
+    assert {int(r["node"]): r["visible"] for r in got.collect()} == {k: n for k, n in graph.visible_counts(items)}
+
+
+def test_null_names_and_mixed_families(spark):
+    rnd = random.Random(53)
+    names = ["a", "a_2", "a_3", "b", "b_2_2", "c", None]
+    rows = [(k, rnd.choice(names[:3] if k % 2 else names), rnd.choice([1, 2, 3, None])) for k in range(120)]
+    got = rename.rename_conflicts(spark.createDataFrame(rows, "k int, name string, owner int"), "name", "owner", "k")
+    want = rename.free_names([(n, o) for _, n, o in rows])
+    assert [r["new_name"] for r in got.orderBy("k").collect()] == want
+    assert rename.free_names([(None, 1), (None, 2)]) == [None, None]
+
+
+def test_parents_of_many_children(spark):
+    kids = spark.range(9000).selectExpr("id % 2 AS p", "sha2(CAST(id AS STRING), 256) AS digest").where("p = 0 OR digest < '08'")
+    parents = spark.createDataFrame([(0,), (1,), (2,)], "p long")
+    got = {r["p"]: r["digest"] for r in merkle.with_children(parents, kids, "p", F.lit("x")).collect()}
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    own = [sorted(r["digest"] for r in kids.where(f"p = {k}").collect()) for k in (0, 1)]
+    chunks = [digest("".join(own[0][k : k + merkle.CHUNK])) for k in range(0, len(own[0]), merkle.CHUNK)]
+    assert got == {0: digest("x|" + "".join(chunks)), 1: digest("x|" + "".join(own[1])), 2: digest("x|")}

@@ -327,3 +327,25 @@ def test_objects_that_need_themselves():
     objects = plain(1)
     objects[2] = Ref(3)
     assert len(parse(written(objects, 1)).pages()) == 1
+
+
+def test_page_tree_nodes():
+    objects = plain(2)
+    pages = [n for n, o in enumerate(objects, 1) if isinstance(o, dict) and o.get("Type") == "Page"]
+    objects[pages[0] - 1]["Type"] = Name("Pages")  # no kids but contents: a page
+    objects.append({"Type": Name("Foo"), "Kids": [Ref(pages[0])]})
+    objects[1]["Kids"] = [Ref(pages[0]), Ref(pages[1]), Ref(len(objects)), None, 7]
+    assert [p.num for p in parse(written(objects, 1)).pages()] == [*pages, len(objects)]
+    objects[1]["Kids"] = [{"Type": Name("Pages")}]
+    with pytest.raises(PdfError, match="no kids"):
+        parse(written(objects, 1)).pages()
+    objects[1]["Kids"] = []
+    with pytest.raises(PdfError, match="no pages"):
+        parse(written(objects, 1)).pages()
+
+
+def test_paths(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert files.shown("-") == "(standard input)" and files.shown("a/b.pdf") == "a/b.pdf"
+    assert files.shown(str(tmp_path.parent / "x.pdf")) == str(tmp_path.parent / "x.pdf") and files.shown(f"{tmp_path}x/y") == f"{tmp_path}x/y"
+    assert [files.with_extension(p, ".png") for p in ("photo.webp", "a.b/c", "a.b/c.d.e", ".rc", "x.")] == ["photo.png", "a.b/c.png", "a.b/c.d.png", ".png", "x.png"]
