@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Token positions that each mask looks at.
 MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 3, 4, 6, 9), (0, 2, 3, 5, 9, 10))
 #: Least share of an item's tokens, and least number of them, that make an overlap.
@@ -141,8 +143,9 @@ def row_key() -> Column:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings: object) -> DataFrame:
     """The rows of docs that overlap with no item, each by its own text."""
-    gone = contaminated(docs.select(row_key().alias("doc_id"), "text"), benchmark, **settings).select(F.col("doc_id").alias("row_")).distinct()
-    return docs.withColumn("row_", row_key()).join(gone, "row_", "left_anti").select(*docs.columns)
+    row = unused(docs, "row")
+    gone = contaminated(docs.select(row_key().alias("doc_id"), "text"), benchmark, **settings).select(F.col("doc_id").alias(row)).distinct()
+    return docs.withColumn(row, row_key()).join(gone, row, "left_anti").select(*docs.columns)
 
 
 def contaminated_sql(masks: tuple[tuple[int, ...], ...] = MASKS, share: float = SHARE, least: int = LEAST) -> str:

@@ -44,7 +44,7 @@ from .common import shuffle_partitions
 U64 = np.uint64
 LOW = U64(0xFFFFFF)
 #: Starts that are named at once, and text bytes whose segments are packed together.
-UNIT, BLOCK = 1 << 20, 32 << 20
+UNIT, BLOCK = 1 << 20, 16 << 20
 #: Stands for a null doc_id where documents are looked up.
 NO_ID = -(1 << 63)
 REPEATED, OPEN, WITNESS = 1, 2, 3
@@ -55,7 +55,7 @@ SAMPLED, HOT = 64, 10_000
 #: Flags of a segment: more of it in its task, repeated in its task, a frequent prefix.
 MANY, KNOWN, FREQUENT = 1, 2, 4
 #: Flag of a string that wants to know, and strings that are named together.
-ASKING, STRINGS_AT_ONCE = 8, 2_000_000
+ASKING, STRINGS_AT_ONCE = 8, 1_000_000
 
 
 class Names:

@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from test_llm_operators import brute_near, brute_quality
 
 from foliograph.llm import decontam, packing, quality, queries
@@ -73,6 +74,18 @@ def test_rows_count_by_id_and_text(spark, sf_dir, tmp_path):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in clean) == sorted((i or 0, t) for i, t in rows[:8])
 
 
+def test_columns_of_any_name_come_through(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    names = ["nth", "nth_", "row", "row_", "component_id", "hash", "own", "kept", "x", "part", "Text_Hash"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns[-len(names) :] == names
+    docs = docs.collect()
+    assert docs and all(r[c] == f"{c}{r['doc_id']}" for r in docs for c in names)
+
+
 def test_passages_of_short_words_are_cut(spark, sf_dir):
     import corpus_pipeline as cp
 
