@@ -14,10 +14,10 @@ tables stay empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import Scratch, table
+from foliograph.llm.common import Scratch, table, unused
 from foliograph.llm.decontam import row_key, without_contaminated
 from foliograph.llm.minhash import near_duplicates
 from foliograph.llm.packing import pack_documents
@@ -37,13 +37,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id, then hash, of each component; one of repeated rows."""
-    keyed = docs.withColumn("row_", row_key())
-    groups = near_duplicates(keyed.select(F.col("row_").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_"), F.col("component_id").alias("component_")).distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_")).alias("first")
-    kept = keyed.select("doc_id", "row_").join(groups, "row_").groupBy("component_").agg(first).select(F.col("first.row_").alias("row_"))
-    one = Window.partitionBy("row_").orderBy(F.xxhash64(*docs.columns))
-    return keyed.join(kept, "row_", "left_semi").withColumn("nth_", F.row_number().over(one)).where("nth_ = 1").select(*docs.columns)
+    """The row with the smallest doc_id, then hash, of each component; one of repeated
+    rows, which an aggregation picks where they are read, so that many stop no task."""
+    row = unused(docs, "row")
+    keyed = docs.withColumn(row, row_key())
+    keys = keyed.select(F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))
+    groups = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    kept = keys.distinct().join(groups, "row").groupBy("component_id").agg(first).select(F.col("first.row").alias(row))
+    one = keyed.groupBy(row).agg(F.min(F.struct(F.xxhash64(*docs.columns).alias("hash"), F.struct(*docs.columns).alias("own"))).alias("x"))
+    return one.join(kept, row, "left_semi").select("x.own.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +78,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each but the last written and reread."""
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    docs, scratch, last = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if last:
+            scratch.drop(last)  # no later stage reads it
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
