@@ -171,8 +171,11 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, change])
 
 
-SEGMENTS = "part int, core long, full long, doc long, place long, mark long"
-STRINGS = "part int, a long, b long, place long, flags int"
+#: A segment's first rank; the other half of its pair's rank over the text's checksum;
+#: the document; position, starts and flags. A string's rank in two parts; flags; its
+#: part and number there. Fields share longs, as rows are what the shuffles weigh.
+SEGMENTS = "core long, full_crc long, doc long, place long"
+STRINGS = "a long, b_flags long, place long"
 STATUS = {"doc": "<i8", "crc": "<u4", "pos": "<u4", "ln": "<u2", "status": "<u1"}
 
 
@@ -250,27 +253,24 @@ def frequent_prefixes(docs: DataFrame, min_bytes: int, parts: int) -> np.ndarray
     return np.sort(np.array([r["core"] for r in found], np.int64).view(U64))
 
 
-def named_segments(docs: DataFrame, min_bytes: int, parts: int, hot: np.ndarray) -> DataFrame:
+def named_segments(docs: DataFrame, min_bytes: int, hot: np.ndarray) -> DataFrame:
     """Round 1, map side: rank pairs of all segments, one row for each pair in a task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_blocks(batches, min_bytes):
             found = segments(texts, min_bytes)
+            found["full"] >>= U64(32)  # with the first rank, 96 bits
             order = np.lexsort((found["full"], found["core"]))
             found = {c: x[order] for c, x in found.items()}
             first = runs(found["core"], found["full"])
             flags = np.full(len(order), KNOWN)
             flags[first] = np.where(np.diff(np.r_[first, len(order)]) > 1, MANY, 0)
-            frequent = np.isin(found["core"], hot)
-            doc = np.array(ids, np.int64)
-            crc = np.array([zlib.crc32(x) for x in texts], np.int64)
-            known, own = flags == KNOWN, parts_of(doc, crc, parts)[found["text"]]  # known ones go home
-            away = (np.where(frequent, found["full"], found["core"]) % U64(parts)).astype(np.int64)
-            part = np.where(known, own, away).astype(np.int32)
-            doc, crc = doc[found["text"]], crc[found["text"]]
-            names = {c: pa.array(np.where(known, U64(0), found[c]).view(np.int64)) for c in ("core", "full")}
-            place = found["pos"].astype(np.int64) << 16 | found["ln"].astype(np.int64)
-            yield pa.record_batch({"part": pa.array(part), **names, "doc": pa.array(doc), "place": pa.array(place), "mark": pa.array(crc << 8 | flags | np.where(frequent, FREQUENT, 0))})
+            flags |= np.where(np.isin(found["core"], hot), FREQUENT, 0)
+            doc = np.array(ids, np.int64)[found["text"]]
+            crc = np.array([zlib.crc32(x) for x in texts], np.uint64)[found["text"]]
+            full_crc = (found["full"] << U64(32) | crc).view(np.int64)
+            place = found["pos"].astype(np.int64) << 24 | found["ln"].astype(np.int64) << 8 | flags
+            yield pa.record_batch({"core": pa.array(found["core"].view(np.int64)), "full_crc": pa.array(full_crc), "doc": pa.array(doc), "place": pa.array(place)})
 
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)), "bytes").mapInArrow(rows, SEGMENTS)
 
@@ -293,29 +293,34 @@ def whole_runs(batches: Iterator[pa.RecordBatch], group: Callable[[dict[str, np.
         if len(starts) > 1:
             yield from rows({c: v[: starts[-1]] for c, v in rest.items()})
             rest = {c: v[starts[-1] :] for c, v in rest.items()}
-    if rest is not None and len(rest["part"]):
+    if rest is not None and len(rest["place"]):
         yield from rows(rest)
 
 
+def _flag(c: str, flag: int) -> Column:
+    return F.col(c).bitwiseAND(F.lit(flag)) > 0
+
+
 def ranked_segments(named: DataFrame, parts: int) -> DataFrame:
     """Round 1, reduce side: the segments that aren't done or that repeat, by document.
 
-    Rows come sorted by part and rank pair.
+    Spark deals rows by their first rank (frequent ones by the pair, known ones anyhow)
+    and sorts them by the pair.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered = Gathered(STATUS)
 
         def told(x: dict[str, np.ndarray], status: np.ndarray) -> Iterator[pa.RecordBatch]:
-            crc = x["mark"] >> 8
-            yield from gathered.add(parts_of(x["doc"], crc, parts), {"doc": x["doc"], "crc": crc, "pos": x["place"] >> 16, "ln": x["place"] & 0xFFFF, "status": status})
+            crc = x["full_crc"] & 0xFFFFFFFF
+            yield from gathered.add(parts_of(x["doc"], crc, parts), {"doc": x["doc"], "crc": crc, "pos": x["place"] >> 24, "ln": x["place"] >> 8 & 0xFFFF, "status": status})
 
         def reranked(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            n = len(x["part"])
-            pair, core = runs(x["core"], x["full"]), runs(x["core"])
+            n = len(x["place"])
+            pair, core = runs(x["core"], x["full_crc"] >> 32), runs(x["core"])
             in_pair = np.repeat(np.arange(len(pair)), np.diff(np.r_[pair, n]))
             in_core = np.repeat(np.arange(len(core)), np.diff(np.r_[core, n]))
-            weight, frequent = 1 + (x["mark"] & MANY), (x["mark"] & FREQUENT) > 0
+            weight, frequent = 1 + (x["place"] & MANY), (x["place"] & FREQUENT) > 0
             repeated = np.bincount(in_pair, weight, len(pair))[in_pair] > 1
             alive = frequent | (np.bincount(in_core, weight, len(core))[in_core] > 1)
             undecided = frequent | (np.bincount(in_core, alive & ~repeated, len(core))[in_core] > 0)
@@ -324,10 +329,11 @@ def ranked_segments(named: DataFrame, parts: int) -> DataFrame:
             status = np.where(repeated, np.where(undecided & head, WITNESS, REPEATED), OPEN)
             yield from told({c: v[alive] for c, v in x.items()}, status[alive])
 
-        yield from whole_runs(batches, lambda x: (x["core"], np.where((x["mark"] & FREQUENT) > 0, x["full"], 0)), reranked, lambda x: (x["mark"] & KNOWN) > 0, lambda x: told(x, np.full(len(x["part"]), REPEATED)))
+        yield from whole_runs(batches, lambda x: (x["core"], np.where((x["place"] & FREQUENT) > 0, x["full_crc"] >> 32, 0)), reranked, lambda x: (x["place"] & KNOWN) > 0, lambda x: told(x, np.full(len(x["place"]), REPEATED)))
         yield from gathered.rest()
 
-    return named.repartition(parts, "part").sortWithinPartitions("core", "full").mapInArrow(rows, packed_schema(STATUS))
+    deal = F.when(_flag("place", KNOWN), F.xxhash64("doc", "place")).when(_flag("place", FREQUENT), F.xxhash64("core", F.shiftright("full_crc", 32))).otherwise(F.col("core"))
+    return named.repartition(parts, deal).sortWithinPartitions("core", "full_crc").mapInArrow(rows, packed_schema(STATUS))
 
 
 class Statuses:
@@ -435,7 +441,7 @@ def find_repeats(docs: DataFrame, min_bytes: int = 400, whole_characters: bool =
     size = base.agg(F.sum(F.length("bytes"))).first()[0] or 0
     parts = max(2 * shuffle_partitions(spark), -(-size // PART_BYTES))
     plain = base.select("doc_id", "bytes")
-    statuses = ranked_segments(named_segments(plain, min_bytes, parts, frequent_prefixes(plain, min_bytes, parts)), parts)
+    statuses = ranked_segments(named_segments(plain, min_bytes, frequent_prefixes(plain, min_bytes, parts)), parts)
     texts = base.select(part_column(parts).alias("part"), F.lit(1).alias("kind"), "doc_id", "bytes", "extra")
     both = texts.unionByName(statuses.withColumn("kind", F.lit(0)), allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", "kind", "doc_id")
     extra_type = base.schema["extra"].dataType
@@ -493,8 +499,8 @@ def find_repeats(docs: DataFrame, min_bytes: int = 400, whole_characters: bool =
             flags[first] = np.where(np.diff(np.r_[first, len(order)]) > 1, MANY, 0)
             sent = (flags != KNOWN) | asking[order]
             order, flags = order[sent], flags[sent] | np.where(asking[order][sent], ASKING, 0)
-            part = np.where(flags & KNOWN, place[order] >> 32, (a[order] % U64(parts)).astype(np.int64)).astype(np.int32)  # known ones go home
-            return pa.record_batch({"part": pa.array(part), "a": pa.array(a[order].view(np.int64)), "b": pa.array(b[order].astype(np.int64)), "place": pa.array(place[order]), "flags": pa.array(flags.astype(np.int32))})
+            b_flags = b[order].astype(np.int64) << 8 | flags
+            return pa.record_batch({"a": pa.array(a[order].view(np.int64)), "b_flags": pa.array(b_flags), "place": pa.array(place[order])})
 
         for part, _, _, text, _, asked in undecided(batches):
             at = at if part == last else 0
@@ -516,12 +522,12 @@ def find_repeats(docs: DataFrame, min_bytes: int = 400, whole_characters: bool =
             yield from gathered.add(x["place"] >> 32, {"at": x["place"] & 0xFFFFFFFF})
 
         def reranked(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            pair = runs(x["a"], x["b"])
+            pair = runs(x["a"], x["b_flags"] >> 8)
             in_pair = np.repeat(np.arange(len(pair)), np.diff(np.r_[pair, len(x["a"])]))
-            hit = (np.bincount(in_pair, 1 + (x["flags"] & MANY), len(pair))[in_pair] > 1) & ((x["flags"] & ASKING) > 0)
+            hit = (np.bincount(in_pair, 1 + (x["b_flags"] & MANY), len(pair))[in_pair] > 1) & ((x["b_flags"] & ASKING) > 0)
             yield from told({c: v[hit] for c, v in x.items()})
 
-        yield from whole_runs(batches, lambda x: (x["a"], x["b"]), reranked, lambda x: (x["flags"] & KNOWN) > 0, told)
+        yield from whole_runs(batches, lambda x: (x["a"], x["b_flags"] >> 8), reranked, lambda x: (x["b_flags"] & KNOWN) > 0, told)
         yield from gathered.rest()
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -547,7 +553,7 @@ def find_repeats(docs: DataFrame, min_bytes: int = 400, whole_characters: bool =
                     spans.append(merged(np.r_[known[1:], np.stack([found, found + min_bytes], 1)]))
                 yield finished(rows.column("doc_id").to_pylist(), rows.column("bytes").to_pylist(), spans, rows.column("extra"))
 
-    hits = both.mapInArrow(strings, STRINGS).repartition(parts, "part").sortWithinPartitions("a", "b").mapInArrow(repeated_strings, "part int, at binary")
+    hits = both.mapInArrow(strings, STRINGS).repartition(parts, F.when(_flag("b_flags", KNOWN), F.col("place")).otherwise(F.col("a"))).sortWithinPartitions("a", "b_flags").mapInArrow(repeated_strings, "part int, at binary")
     open_docs = both.mapInArrow(carry, carried).unionByName(hits.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     return both.mapInArrow(decided, result).unionByName(open_docs.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(settled, result))
 
