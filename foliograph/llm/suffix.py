@@ -50,6 +50,8 @@ NO_ID = -(1 << 63)
 REPEATED, OPEN, WITNESS = 1, 2, 3
 #: Text bytes of a part, and rows that are packed together.
 PART_BYTES, PACK_ROWS = 24 << 20, 200_000
+#: Rows whose texts become Python objects at once.
+SLICE = 256
 #: One of so many documents is looked at for frequent prefixes; of those so many are dealt apart.
 SAMPLED, HOT = 64, 10_000
 #: Flags of a segment: more of it in its task, repeated in its task, a frequent prefix.
@@ -221,8 +223,8 @@ class Gathered:
 def text_blocks(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[tuple[list, list[bytes]]]:
     """(ids, texts) of the texts that have a string, about BLOCK bytes at once."""
     ids, texts, total = [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    for part in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
+        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             if len(text) >= min_bytes:
                 ids.append(doc_id)
                 texts.append(text)
@@ -415,7 +417,8 @@ def documents_with_statuses(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple
             else:
                 if statuses is None:
                     statuses, gathered = Statuses(gathered), []
-                yield part, statuses, rows
+                for at in range(0, size, SLICE):
+                    yield part, statuses, rows.slice(at, SLICE)
 
 
 def _stretches(*keys: np.ndarray) -> list[tuple[int, int]]:
