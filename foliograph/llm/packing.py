@@ -35,17 +35,19 @@ COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 class Encoder:
-    """Ids as the tokenizers file gives them, special-token strings being ordinary text.
+    """Ids as the tokenizers library gives them by default, with added tokens found in
+    texts.
 
-    ``ranks`` may name the same vocabulary as ranks: texts of plain characters then go
-    through the faster library, which yields the same ids for them; others don't.
+    ``ranks`` may name the same vocabulary as ranks: texts of plain characters without an
+    added token's string then go through the faster library, which yields the same ids
+    for them; others don't.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks and pattern:
             import base64
@@ -57,7 +59,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None and PLAIN.fullmatch(text):
+        if self.fast is not None and PLAIN.fullmatch(text) and not any(a in text for a in self.added):
             return np.array(self.fast.encode_ordinary(text), np.uint32)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 

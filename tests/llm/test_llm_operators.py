@@ -76,8 +76,15 @@ def test_both_tokenizers_agree(real):
     files = queries.tokenizer_files()
     fast, slow = packing.Encoder(**{"path": files["tokenizer"], "ranks": files["ranks"], "pattern": files["pattern"]}), packing.Encoder(files["tokenizer"])
     texts = [t for (t,) in rows_of(real, "text")] + ["<|endoftext|> x", "a\u00a0b\u2003c  ", "\x85\x1c", "日本語 ½²ǅʰ ɏɐ", "don't WE'LL 's", "x" * 3000, " \t\n \r\n  a"]
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(files["tokenizer"])
+    rnd = random.Random(59)
+    every = [chr(c) for c in range(0x250) if packing.PLAIN.fullmatch(chr(c))]
+    texts += ["".join(every), " ".join(every), *(f"a{c}b {c}{c} {c}1" for c in every), *("".join(rnd.choices(every + [" ", "'", "s", "\n"] * 20, k=60)) for _ in range(400)), "a <|endoftext|> b"]
     for t in texts:
-        assert fast.ids(t).tolist() == slow.ids(t).tolist()
+        assert fast.ids(t).tolist() == slow.ids(t).tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert fast.ids("a <|endoftext|> b").tolist() != fast.fast.encode_ordinary("a <|endoftext|> b")
 
 
 # 2 decontamination
