@@ -148,14 +148,17 @@ def three_digits(x: Column, style: str = "es") -> Column:
     return F.when(x < 10, fixed(x, 2, style)).when(x < 100, fixed(x, 1, style)).otherwise(fixed(x, 0, style))
 
 
-def format_bytes(n: Column, style: str = "es") -> Column:
-    """Decimal units and about three digits."""
+def format_bytes(n: Column, style: str = "es", last: str = "PB", apart: bool = True) -> Column:
+    """Decimal units up to last and about three digits. Beyond 999 of the last unit
+    there are more; apart says whether their thousands are."""
     size = F.abs(n.cast("double"))
     out = F.when(size < 1000, F.concat(grouped(size, style), F.lit(" B")))
-    for k, unit in enumerate(UNITS):
+    for k, unit in enumerate(UNITS[: UNITS.index(last) + 1]):
         v = size / float(1000 ** (k + 1))
         text = F.concat(three_digits(v, style), F.lit(f" {unit}"))
-        out = out.otherwise(text) if unit == "PB" else out.when(v < 999.5, text)
+        if unit == last and not apart:
+            text = F.translate(text, "." if style == "es" else ",", "")
+        out = out.otherwise(text) if unit == last else out.when(v < 999.5, text)
     return F.concat(F.when(n < 0, "-").otherwise(""), out)
 
 

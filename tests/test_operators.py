@@ -277,3 +277,20 @@ def test_many_claims_of_one_name_are_dealt_in_time():
     names = [Name("a"), Name("a_2")]
     got = rename.free_names([(names[k % 5 == 0], k % 25) for k in range(5000)])
     assert len(set(got)) > 4000 and Name.made < 15000  # each number once, not all of them for each claim
+
+
+def test_sizes_beyond_the_last_unit(spark, tmp_path):
+    import duckdb
+
+    from foliograph import registry
+
+    sizes = [999, 999_600_000_000, 1_322_500_000_000, 2_270_123_456_789_012, 999_499_999_999, 37]
+    assert told(spark, T.format_bytes, sizes, "long") == ["999 B", "1,00 TB", "1,32 TB", "2,27 PB", "999 GB", "37 B"]
+    assert told(spark, lambda c: T.format_bytes(c, "en", "GB"), sizes, "long")[1:4] == ["1,000 GB", "1,322 GB", "2,270,123 GB"]
+    rows = [(n % 7, n // (37 * (n % 7 + 1))) for n in sizes] + [(8, None)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLE["format_bytes"]).fetchall())
+    assert sorted(tuple(r) for r in registry.QUERIES["format_bytes"](spark, str(tmp_path)).collect()) == want
+    assert {"1000 GB", "1322 GB", "2270123 GB"} <= {size for _, size in want}
