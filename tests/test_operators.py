@@ -294,3 +294,38 @@ def test_sizes_beyond_the_last_unit(spark, tmp_path):
     want = sorted(con.execute(registry.ORACLE["format_bytes"]).fetchall())
     assert sorted(tuple(r) for r in registry.QUERIES["format_bytes"](spark, str(tmp_path)).collect()) == want
     assert {"1000 GB", "1322 GB", "2270123 GB"} <= {size for _, size in want}
+
+
+@pytest.mark.parametrize("batch", [7, 10000])
+def test_one_hash_over_all_children(spark, batch):
+    rnd = random.Random(61)
+    kids = [(k, hashlib.sha256(str(rnd.randrange(3000)).encode()).hexdigest()) for k, n in ((1, 9000), (2, 30), (4, 1), (9, 5)) for _ in range(n)]
+    rnd.shuffle(kids)
+    rows = spark.createDataFrame([*kids, (None, "aa"), (2, None)], "p long, digest string")
+    parents = [(1, "x", 5), (2, "ñ", 6), (2, "y", 7), (3, "z", 8), (None, "n", 9), (4, None, 10)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = merkle.with_all_children(spark.createDataFrame(parents, "p long, own string, c int"), rows, "p", F.col("own")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    told = lambda p, own: own and hashlib.sha256(f"{own}|{''.join(sorted(d for k, d in kids if k == p))}".encode()).hexdigest()
+    assert sorted(map(tuple, got), key=lambda r: r[2]) == [(p, own, c, told(p, own)) for p, own, c in parents]
+
+
+def test_hierarchy_of_many_customers_matches_its_sql(spark, sf_dir, tmp_path):
+    import duckdb
+    from compare import TABLES
+
+    from foliograph import registry
+
+    con = duckdb.connect()
+    for t in TABLES[:7]:
+        rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        if t == "customer":  # more of a nation than are hashed at once
+            more = spark.range(merkle.CHUNK + 500).selectExpr("id + 1000000 AS c_custkey", "concat('more', id) AS c_name", "3 AS c_nationkey", "1.0D AS c_acctbal", "'BUILDING' AS c_mktsegment")
+            rows = rows.unionByName(more)
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLE["merkle_hierarchy"]).fetchall())
+    assert sorted(tuple(r) for r in registry.QUERIES["merkle_hierarchy"](spark, str(tmp_path)).collect()) == want
